@@ -190,7 +190,8 @@ def actionable_bound(feature: str, original) -> Column:
 
 
 def impact_text(value) -> Column:
-    return F.when(as_column(value) > 0, "increases risk").otherwise("decreases risk")
+    up, down = fixed.IMPACT_TEXTS
+    return F.when(as_column(value) > 0, up).otherwise(down)
 
 
 def overlap_ratio(a, b, k: int) -> Column:

@@ -154,3 +154,58 @@ SUBGROUP_CAVEAT = (
     "High Accuracy or Recall in high-prevalence cohorts can reflect positive-class prediction bias unless "
     "contextualized with Precision, Specificity, and F1-score. Subgroup breakdowns should be read as exploratory/indicative."
 )
+
+# --- fixed values: text formats ----------------------------------------------
+
+# arguments: overlap in percent, tau; {folds} and {k} are filled in first
+STABILITY_TEXTS = {
+    "high": (
+        "High Explanation Stability: Across the {folds} cross-validation folds, "
+        "the Top-{k} SHAP features exhibit an average Overlap@{k} of %.1f%% "
+        "(Kendall's tau: %.3f). The model consistently identifies the same key risk drivers "
+        "regardless of train-test split variations."
+    ),
+    "moderate": (
+        "Moderate Explanation Stability: Top-{k} SHAP features exhibit an average Overlap@{k} "
+        "of %.1f%% across folds (Kendall's tau: %.3f). Core risk drivers remain "
+        "largely stable, with minor re-ordering in secondary features across folds."
+    ),
+    "low": (
+        "Low Explanation Stability: Top-{k} SHAP features exhibit an average Overlap@{k} "
+        "of %.1f%% across folds (Kendall's tau: %.3f). Feature importance rankings "
+        "shift substantially across training fold variations."
+    ),
+}
+# arguments: feature, old and new value (twice for "dual"), old and new percent, threshold percent
+WHAT_IF_TEXTS = {
+    "single": (
+        "Model-based what-if scenario: If this patient's %s were modified "
+        "from %.1f to %.1f, with other factors unchanged, "
+        "the model's predicted risk would drop from %.1f%% to %.1f%% "
+        "(below the %.0f%% threshold)."
+    ),
+    "dual": (
+        "Model-based what-if scenario: If this patient's %s were modified from "
+        "%.1f to %.1f and %s were modified from %.1f to %.1f, with other factors unchanged, "
+        "the model's predicted risk would drop from %.1f%% to %.1f%% "
+        "(below the %.0f%% threshold)."
+    ),
+    "low": "Patient is already predicted as low-risk (predicted risk: %.1f%%).",
+    "none": "No simple counterfactual modification in %s was sufficient to flip prediction below %.0f%%.",
+}
+WHAT_IF_ROW_HEAD = "PATIENT INDEX: %s"
+WHAT_IF_RULE, WHAT_IF_ROW_RULE = "=" * 80, "-" * 80
+IMPACT_TEXTS = ("increases risk", "decreases risk")
+IMPACT_SUMMARY = "%s (%s, SHAP impact: %+.3f)"
+REPORT_RULE, REPORT_LINE = "=" * 50, "-" * 50
+REPORT_TEXTS = {
+    "title": "     HEART DISEASE RISK ASSESSMENT SUMMARY       ",
+    "probability": "Predicted Probability : %s (%.4f)",
+    "category": "Risk Category         : %s",
+    "consensus": "MODEL CONSENSUS & UNCERTAINTY:",
+    "base": "  Base Classifiers:",
+    "base_line": "    - %-15s: %.1f%%",
+    "features": "TOP CONTRIBUTING FEATURES (SHAP Explanation):",
+    "feature_line": "  %d. %s",
+    "no_features": "  N/A",
+}

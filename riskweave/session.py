@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, **conf) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("riskweave")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
