@@ -207,37 +207,47 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(4294967296)).cast("double") / F.lit(4294967296.0)
 
 
-def surrogate(df: DataFrame, scorer: Scorer, features: list[str], bins: dict[str, list[float]],
-              row_id: str = "row_id", samples: int = 5000, seed: int = 42, top_k: int | None = None,
-              alpha: float = 1.0) -> DataFrame:
-    """Weights of a local linear model per row.
+def perturb(df: DataFrame, features: list[str], bins: dict[str, list[float]], row_id: str = "row_id",
+            samples: int = 5000, seed: int = 42) -> DataFrame:
+    """``samples`` inputs around each row; the first is the row itself.
 
-    Around each row, ``samples`` inputs are drawn (the first is the row itself):
-    a quartile bin per feature, then a value inside it, from hashes of row,
-    sample and feature.  The model's features say "same bin as the row"; near
-    samples weigh more.  The weighted sums a ridge fit needs are plain sums per
-    row, reduced inside the task; only they reach the solver.
+    Per feature a quartile bin is drawn, then a value inside it, from hashes of
+    row, sample and feature.  ``__z<j>`` says whether feature ``j`` stayed in the
+    row's own bin.
     """
-    d = len(features)
-    width = 0.75 * math.sqrt(d)
     draws = df.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    first = F.col("__s") == 0
     drawn, same = {}, {}
     for j, f in enumerate(features):
-        lo, q1, q2, q3, hi = bins[f]
-        edges = [lo, q1, q2, q3, hi]
-        bin_of = lambda c: (
-            (c > q1).cast("int") + (c > q2).cast("int") + (c > q3).cast("int")
-        )
+        edges = bins[f]
+
+        def bin_of(c, cuts=edges[1:4]):
+            return sum(((c > q).cast("int") for q in cuts[1:]), (c > cuts[0]).cast("int"))
+
         u = _uniform(F.lit(seed), F.col(row_id), F.col("__s"), F.lit(2 * j))
         v = _uniform(F.lit(seed), F.col(row_id), F.col("__s"), F.lit(2 * j + 1))
         pick = F.floor(u * 4.0).cast("int")
         left = F.element_at(F.array(*[F.lit(e) for e in edges[:4]]), pick + 1)
         right = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), pick + 1)
-        first = F.col("__s") == 0
-        drawn[f] = F.when(first, F.col(f)).otherwise(right - v * (right - left))
+        drawn[f"__d{j}"] = F.when(first, F.col(f)).otherwise(right - v * (right - left))
         same[f"__z{j}"] = F.when(first | (bin_of(F.col(f)) == bin_of(F.col(f"__d{j}"))), 1.0).otherwise(0.0)
-    rows = draws.withColumns({f"__d{j}": drawn[f] for j, f in enumerate(features)}).withColumns(same)
-    swapped = rows.withColumns({f: F.col(f"__d{j}") for j, f in enumerate(features)})
+    rows = draws.withColumns(drawn).withColumns(same)
+    return rows.withColumns({f: F.col(f"__d{j}") for j, f in enumerate(features)}).drop(*drawn)
+
+
+def surrogate(df: DataFrame, scorer: Scorer, features: list[str], bins: dict[str, list[float]],
+              row_id: str = "row_id", samples: int = 5000, seed: int = 42, top_k: int | None = None,
+              alpha: float = 1.0) -> DataFrame:
+    """Weights of a local linear model per row.
+
+    The model's features say "same bin as the row"; near samples weigh more.
+    The weighted sums a ridge fit needs are plain sums per row, reduced inside
+    the task; only they reach the solver.  With ``top_k`` the features of largest
+    weight are kept and fitted again.
+    """
+    d = len(features)
+    width = 0.75 * math.sqrt(d)
+    swapped = perturb(df, features, bins, row_id, samples, seed)
     scored = scorer(swapped, "__p")
     differ = F.lit(float(d)) - sum((F.col(f"__z{j}") for j in range(1, d)), F.col("__z0"))
     scored = scored.withColumn("__w", F.exp(differ * F.lit(-0.5 / (width * width))))

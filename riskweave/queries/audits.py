@@ -317,12 +317,12 @@ def agreement_examples(spark, sf_dir):
 s AS (SELECT round(std_dev, 9) AS v FROM agreed),
 e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20e0 AS w FROM s)
 SELECT CAST(least(floor((v - lo) / w), 19) AS INTEGER) AS bin, count(*) AS n,
-  round(any_value(lo + CAST(least(floor((v - lo) / w), 19) AS INTEGER) * w), 9) AS bin_lo,
-  round(any_value(lo + (CAST(least(floor((v - lo) / w), 19) AS INTEGER) + 1) * w), 9) AS bin_hi
+  round(any_value(lo + CAST(least(floor((v - lo) / w), 19) AS INTEGER) * w), 12) AS bin_lo,
+  round(any_value(lo + (CAST(least(floor((v - lo) / w), 19) AS INTEGER) + 1) * w), 12) AS bin_hi
 FROM s, e GROUP BY bin""")
 def agreement_histogram(spark, sf_dir):
     rows = _agreed(spark, sf_dir).select(F.round("std_dev", 9).alias("v"))
-    return metrics.histogram(rows, "v", 20).select("bin", "n", *_r("bin_lo", "bin_hi"))
+    return metrics.histogram(rows, "v", 20).select("bin", "n", *_r("bin_lo", "bin_hi", digits=12))
 
 
 # --- votes and out-of-fold tables --------------------------------------------

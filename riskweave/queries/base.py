@@ -40,7 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # bad text in ca, thal and target, zeros for "not measured" in chol and trestbps
 LINEITEM_AS_COHORT = """
   concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),
-            CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS row_id,
+            CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+            CAST(CAST(round(l_extendedprice * 100e0) AS BIGINT) AS STRING)) AS row_id,
   20e0 + l_quantity * 1.4e0 AS age,
   CAST(l_linenumber % 2 AS DOUBLE) AS sex,
   CAST(1 + l_partkey % 4 AS DOUBLE) AS cp,
