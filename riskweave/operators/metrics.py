@@ -108,7 +108,9 @@ def extended(df: DataFrame, keys: list[str] = (), label: str = "y_true", pred: s
     counts = confusion(df, [*keys, score], label, pred, weight).withColumns(
         {"pos": F.col("fn") + F.col("tp"), "neg": F.col("tn") + F.col("fp")}
     )
-    ranked = ranks.running_totals(counts, keys, score, ["pos", "neg"], cuts)
+    # "neg" first: both branches then ask for the four counts in the same order
+    # and share one shuffle
+    ranked = ranks.running_totals(counts, keys, score, ["neg", "pos"], cuts)
     summed = ranked.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")], *_rank_sums()
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.functions import fixed
@@ -155,17 +156,25 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str] = (), fold_col
     """Fit medians, modes, means, population deviations and categories.
 
     With ``fold_col`` (values 0..k-1) one fit per fold, each from the rows of the
-    other folds.  Numeric features take two passes over the data (sketch and
-    moments, then the few values around the median), categorical ones a third.
+    other folds.  Numeric features take three narrow passes (moments and sketch,
+    counts below, the few values around the median), categorical ones two.  Fold
+    numbers come out of a shuffle, so a fold-wise fit keeps the columns it needs
+    while it runs; a plain fit reads the scan again.
     """
     if fold_col is not None and k is None:
         k = df.select(F.max(fold_col)).first()[0] + 1
     fits = [None] if fold_col is None else list(range(k))
     stats = {f: {} for f in fits}
-    if numeric:
-        _fit_numeric(df, list(numeric), fold_col, fits, stats)
-    if categorical:
-        _fit_categorical(df, list(categorical), fold_col, fits, stats, max_categories)
+    if fold_col is not None:
+        df = df.select(fold_col, *numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if numeric:
+            _fit_numeric(df, list(numeric), fold_col, fits, stats)
+        if categorical:
+            _fit_categorical(df, list(categorical), fold_col, fits, stats, max_categories)
+    finally:
+        if fold_col is not None:
+            df.unpersist()
     return Preparation(list(numeric), list(categorical), stats)
 
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 _BUCKET = "__bucket"
+_KEY = "__key"
 
 
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -31,9 +32,10 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
 
 def bucketed(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
     if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0.0))
+        return df.withColumn(_BUCKET, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=_BUCKET, handleInvalid="keep").transform(df)
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol=_BUCKET, handleInvalid="keep").transform(df)
+    return cut.withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
 
 
 def running_totals(counts: DataFrame, keys: list[str], value: str, measures: list[str],
@@ -43,35 +45,27 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, measures: lis
     ``below`` is the sum over strictly smaller values of the same key, ``total``
     the sum over the key.  ``counts`` must have one row per (keys, value).
     """
-    rows = bucketed(counts, value, cuts)
-    sizes = rows.groupBy(*keys, _BUCKET).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
+    # one struct key: a group with a NULL in it still joins by plain equality, on
+    # the partitioning the window below already has
+    rows = bucketed(counts, value, cuts).withColumn(_KEY, F.struct(F.lit(0).alias("_"), *keys))
+    sizes = rows.groupBy(_KEY, _BUCKET).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
     # at most len(cuts) + 1 rows per key reach these two windows
-    before = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
+    before = W.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(_KEY)
     offsets = sizes.select(
-        *keys, _BUCKET,
+        _KEY, _BUCKET,
         *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
         *[F.sum(f"__s_{m}").over(whole).alias(f"total_{m}") for m in measures],
     )
-    inside = W.partitionBy(*keys, _BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(_KEY, _BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumns({f"__l_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    joined = _null_safe_join(local, offsets, [*keys, _BUCKET])
-    return joined.select(
+    return local.join(offsets, [_KEY, _BUCKET]).select(
         *counts.columns,
         *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"below_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures],
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
-    cond = None
-    for c in on:
-        term = left[c].eqNullSafe(renamed[f"__r_{c}"])
-        cond = term if cond is None else cond & term
-    return left.join(renamed, cond).drop(*[f"__r_{c}" for c in on])
-
-
 def score_counts(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Positives and negatives per distinct score; reduced before any shuffle."""
     return df.groupBy(*keys, score).agg(
@@ -100,11 +94,11 @@ def hash_order(df: DataFrame, strata: list[str], row_id: str, seed: int, out: st
     offsets (that many rows per stratum, and no more).
     """
     hashed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed)))))
-    hashed = hashed.withColumn(_BUCKET, F.substring("__h", 1, prefix_digits))
-    sizes = hashed.groupBy(*strata, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*strata).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*strata, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = W.partitionBy(*strata, _BUCKET).orderBy("__h", row_id)
+    hashed = hashed.withColumns({_BUCKET: F.substring("__h", 1, prefix_digits), _KEY: F.struct(F.lit(0).alias("_"), *strata)})
+    sizes = hashed.groupBy(_KEY, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(_KEY, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = W.partitionBy(_KEY, _BUCKET).orderBy("__h", row_id)
     ranked = hashed.withColumn("__l", F.row_number().over(inside) - 1)
-    joined = _null_safe_join(ranked, offsets, [*strata, _BUCKET])
-    return joined.withColumn(out, F.col("__l") + F.col("__o")).drop("__h", "__l", "__o", _BUCKET)
+    joined = ranked.join(offsets, [_KEY, _BUCKET])
+    return joined.select(*df.columns, (F.col("__l") + F.col("__o")).alias(out))

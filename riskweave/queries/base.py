@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweave.functions import columns as C, fixed
 from riskweave.operators import agreement, cleaning, folds
+from riskweave.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,7 +94,7 @@ EVENTS_AS_TEXT = """
 
 
 def raw_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_items(LINEITEM_AS_COHORT))
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(*_items(LINEITEM_AS_COHORT))
 
 
 def raw_external(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,7 +45,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name, uuid.uuid4().hex)
 
 
-def cut_lineage(df, name: str = "stage"):
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all of them.
+
+    A small table often lies in one file with one row group: one task would then
+    do all the work of a compute-heavy plan.  A table with enough splits is
+    returned as it is, so at scale this adds no shuffle.  For scans and narrow
+    steps on them; their split count is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Used between the stages of long procedures: a lost executor then costs a
