@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskweave.functions import columns as C, fixed
 
@@ -24,15 +24,19 @@ def candidates(df: DataFrame, score: str, row_id: str = "row_id", low: float = f
                fallback: int = fixed.CANDIDATE_FALLBACK_ROWS) -> DataFrame:
     """The first few rows in the score range, or the first rows when none is.
 
-    Both are top-n reads (``TakeOrderedAndProject``), so a few rows per task move.
+    One top-n read (``TakeOrderedAndProject``): rows in the range first, then by
+    id.  The windows that tell which case it is run over those few rows only.
     """
-    inside = df.where(F.col(score).between(low, high))
-    first = inside.orderBy(row_id).limit(count).withColumn("__is_hit", F.lit(1))
-    spare = df.orderBy(row_id).limit(fallback).withColumn("__is_hit", F.lit(0))
-    both = first.unionByName(spare)
-    hits = both.agg(F.max("__is_hit").alias("__want"))
-    # both sides hold at most count + fallback rows
-    return both.join(hits, F.col("__is_hit") == F.col("__want"), "left_semi").drop("__is_hit")
+    hit = F.coalesce(F.col(score).between(low, high), F.lit(False))
+    few = (
+        df.withColumn("__hit", hit.cast("int")).orderBy(F.desc("__hit"), row_id).limit(max(count, fallback))
+    )
+    ordered = W.partitionBy(F.lit(0)).orderBy(F.desc("__hit"), row_id)
+    marked = few.withColumns({
+        "__any": F.max("__hit").over(W.partitionBy(F.lit(0))), "__k": F.row_number().over(ordered),
+    })
+    in_range = (F.col("__hit") == 1) & (F.col("__k") <= count)
+    return marked.where(in_range | ((F.col("__any") == 0) & (F.col("__k") <= fallback))).drop("__hit", "__any", "__k")
 
 
 def _moved(features: list[str], which: Column, step: Column, n_steps: int) -> dict:
