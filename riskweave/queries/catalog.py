@@ -1,6 +1,6 @@
 """All named queries."""
 
-from riskweave.queries import audits, cohort, explained, prepared  # noqa: F401
+from riskweave.queries import audits, cohort, explained, files, prepared  # noqa: F401
 from riskweave.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

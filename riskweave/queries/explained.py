@@ -384,28 +384,44 @@ _SMALL_PARAMS = {
     "adaboost": {"n_estimators": 6},
 }
 
-_U = "CAST(CAST('0x' || substr(md5('42|{kind}|' || CAST(c_custkey AS STRING) || '|{name}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
+_U = "CAST(CAST('0x' || substr(md5('42|{kind}|' || CAST({id} AS STRING) || '|{name}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
 
 
-def _trial_sql(kind: str) -> str:
+def _trial_sql(kind: str, source: str, trial: str) -> str:
     items = []
     for name, (how, *b) in fixed.SEARCH_SPACES[kind].items():
-        u = _U.format(kind=kind, name=name)
+        u = _U.format(kind=kind, name=name, id=trial)
         if how == "int":
             items.append(f"CAST({b[0]} + floor(({u}) * {b[1] - b[0] + 1}) AS INTEGER) AS {name}")
         elif how == "float":
             items.append(f"round({b[0]}e0 + ({u}) * {b[1] - b[0]}e0, 9) AS {name}")
-        else:
+        elif how == "log":
             items.append(f"round(exp(ln({b[0]}e0) + ({u}) * (ln({b[1]}e0) - ln({b[0]}e0))), 9) AS {name}")
-    return f"SELECT c_custkey AS trial, {', '.join(items)} FROM customer"
+        else:
+            arms = " ".join(f"WHEN {i} THEN " + ("NULL" if x is None else f"'{x}'") for i, x in enumerate(b))
+            items.append(f"CASE CAST(floor(({u}) * {len(b)}) AS INTEGER) {arms} END AS {name}")
+    return f"SELECT {trial} AS trial, {', '.join(items)} FROM {source}"
+
+
+def _trials(spark, sf_dir, kind: str, source: str, trial: str):
+    """One trial of a search space per key of a table."""
+    df = search.add_trials(table(spark, sf_dir, source).select(F.col(trial).alias("trial")), kind)
+    return df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if t == "double"})
 
 
-@query("search_trials", _trial_sql("xgboost"))
+@query("search_trials", _trial_sql("xgboost", "customer", "c_custkey"))
 def search_trials(spark, sf_dir):
-    """One trial of the boosting space per customer key."""
-    df = search.add_trials(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trial")), "xgboost")
-    doubles = [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, 9) for c in doubles})
+    return _trials(spark, sf_dir, "xgboost", "customer", "c_custkey")
+
+
+@query("search_trials_forest", _trial_sql("random_forest", "part", "p_partkey"))
+def search_trials_forest(spark, sf_dir):
+    return _trials(spark, sf_dir, "random_forest", "part", "p_partkey")
+
+
+@query("search_trials_adaboost", _trial_sql("adaboost", "supplier", "s_suppkey"))
+def search_trials_adaboost(spark, sf_dir):
+    return _trials(spark, sf_dir, "adaboost", "supplier", "s_suppkey")
 
 
 @query("random_search")
