@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskweave.functions import columns as C, fixed
-from riskweave.operators import metrics
+from riskweave.operators import metrics, ranks
 
 ALL_COLUMNS = [
     "sample_size", "disease_prevalence", "accuracy", "recall", "precision", "specificity", "f1_score", "roc_auc",
@@ -52,5 +52,7 @@ def breakdown(df: DataFrame, dimensions: list[str] = None, keys: list[str] = (),
         F.expr(f"stack({len(dimensions)}, {parts}) as (dimension, subgroup)"),
     ).where(F.col("subgroup").isNotNull())
     out_keys = [*keys, "dimension", "subgroup"]
-    measured = metrics.extended(spread, out_keys, label, pred, score, weight="__n")
+    # cut points from the rows themselves: the expansion has the same scores
+    cuts = ranks.cut_points(df, score)
+    measured = metrics.extended(spread, out_keys, label, pred, score, cuts, weight="__n")
     return _shape(measured, out_keys).withColumn("caveat", F.lit(fixed.SUBGROUP_CAVEAT))

@@ -106,7 +106,7 @@ def extended(df: DataFrame, keys: list[str] = (), label: str = "y_true", pred: s
     if cuts is None:
         cuts = ranks.cut_points(df, score)
     counts = confusion(df, [*keys, score], label, pred, weight).withColumns(
-        {"pos": F.col("fn") + F.col("tp"), "neg": F.col("tn") + F.col("fp")}
+        {"neg": F.col("tn") + F.col("fp"), "pos": F.col("fn") + F.col("tp")}
     )
     # "neg" first: both branches then ask for the four counts in the same order
     # and share one shuffle

@@ -9,10 +9,9 @@ cut points only balance the work; any cut points give the same exact result.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 _BUCKET = "__bucket"
-_KEY = "__key"
 
 
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -35,7 +34,9 @@ def bucketed(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
         return df.withColumn(_BUCKET, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=value, outputCol=_BUCKET, handleInvalid="keep").transform(df)
-    return cut.withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
+    # never NULL: a join on it must not send a filter on the score's whole expression
+    # down one of its two inputs, which would also keep them from sharing a shuffle
+    return cut.withColumn(_BUCKET, F.coalesce(F.col(_BUCKET).cast("int"), F.lit(-1)))
 
 
 def running_totals(counts: DataFrame, keys: list[str], value: str, measures: list[str],
@@ -45,27 +46,42 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, measures: lis
     ``below`` is the sum over strictly smaller values of the same key, ``total``
     the sum over the key.  ``counts`` must have one row per (keys, value).
     """
-    # one struct key: a group with a NULL in it still joins by plain equality, on
-    # the partitioning the window below already has
-    rows = bucketed(counts, value, cuts).withColumn(_KEY, F.struct(F.lit(0).alias("_"), *keys))
-    sizes = rows.groupBy(_KEY, _BUCKET).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
+    # never-NULL stand-ins for the keys: a group with a NULL in it then joins by
+    # plain equality, on the partitioning the window below already has
+    stand_ins = _never_null(counts, keys)
+    rows = bucketed(counts, value, cuts).withColumns(stand_ins)
+    names = list(stand_ins)
+    sizes = rows.groupBy(*names, _BUCKET).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
     # at most len(cuts) + 1 rows per key reach these two windows
-    before = W.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(_KEY)
+    before = W.partitionBy(*names).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*names)
     offsets = sizes.select(
-        _KEY, _BUCKET,
+        *names, _BUCKET,
         *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
         *[F.sum(f"__s_{m}").over(whole).alias(f"total_{m}") for m in measures],
     )
-    inside = W.partitionBy(_KEY, _BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*names, _BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumns({f"__l_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    return local.join(offsets, [_KEY, _BUCKET]).select(
+    return local.join(offsets, [*names, _BUCKET]).select(
         *counts.columns,
         *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"below_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures],
     )
 
 
+def _never_null(df: DataFrame, keys: list[str]) -> dict:
+    """Key columns as pairs (is missing, value or a default)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out = {}
+    for i, c in enumerate(keys):
+        if isinstance(types[c], T.NumericType):
+            value = F.coalesce(F.col(c), F.lit(0).cast(types[c]))
+        else:
+            value = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        out[f"__v{i}"], out[f"__n{i}"] = value, F.col(c).isNull()
+    return out
+
+
 def score_counts(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Positives and negatives per distinct score; reduced before any shuffle."""
     return df.groupBy(*keys, score).agg(
@@ -94,11 +110,12 @@ def hash_order(df: DataFrame, strata: list[str], row_id: str, seed: int, out: st
     offsets (that many rows per stratum, and no more).
     """
     hashed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed)))))
-    hashed = hashed.withColumns({_BUCKET: F.substring("__h", 1, prefix_digits), _KEY: F.struct(F.lit(0).alias("_"), *strata)})
-    sizes = hashed.groupBy(_KEY, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(_KEY, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = W.partitionBy(_KEY, _BUCKET).orderBy("__h", row_id)
+    stand_ins = _never_null(df, strata)
+    hashed = hashed.withColumns({_BUCKET: F.coalesce(F.substring("__h", 1, prefix_digits), F.lit("")), **stand_ins})
+    on = [*stand_ins, _BUCKET]
+    sizes = hashed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*stand_ins).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*on, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = W.partitionBy(*on).orderBy("__h", row_id)
     ranked = hashed.withColumn("__l", F.row_number().over(inside) - 1)
-    joined = ranked.join(offsets, [_KEY, _BUCKET])
-    return joined.select(*df.columns, (F.col("__l") + F.col("__o")).alias(out))
+    return ranked.join(offsets, on).select(*df.columns, (F.col("__l") + F.col("__o")).alias(out))

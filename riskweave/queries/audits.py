@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns as C, fixed
-from riskweave.operators import agreement, calibration, fairness, metrics
+from riskweave.operators import agreement, calibration, fairness, metrics, ranks
 from riskweave.queries.base import (
     FOLD_CTE, SCORED_CTE, oof, oof_cte, query, scored, table,
 )
@@ -351,7 +351,9 @@ j AS (SELECT r.*, roc_auc FROM r JOIN ranked ON r.model = ranked.model AND r.fol
 SELECT model, {", ".join(f"round(avg({m}), 7) AS {m}_mean, round(stddev_pop({m}), 7) AS {m}_std" for m in _SUMMARY)}
 FROM j GROUP BY model""")
 def fold_metric_summary(spark, sf_dir):
-    per_fold = metrics.extended(oof(spark, sf_dir, with_fold=True), ["model", "fold"])
+    # the scores do not depend on the folds, nor do good cut points
+    cuts = ranks.cut_points(oof(spark, sf_dir), "y_prob")
+    per_fold = metrics.extended(oof(spark, sf_dir, with_fold=True), ["model", "fold"], cuts=cuts)
     rounded = per_fold.withColumns({m: F.round(m, 9) for m in _SUMMARY})
     out = metrics.fold_summary(rounded, ["model"], _SUMMARY)
     names = [f"{m}_{s}" for m in _SUMMARY for s in ("mean", "std")]

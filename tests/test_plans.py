@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import counterfactual, metrics, prepare
+from riskweave.operators import counterfactual, fairness, metrics, prepare
 from riskweave.queries import base, catalog
 from riskweave.queries.explained import _cf_score
 
@@ -49,7 +49,20 @@ def test_rank_metrics_share_the_counting_shuffle(spark):
     oof = base.oof(spark, SF)
     for df in (metrics.extended(oof, ["model"]), metrics.rank_metrics(oof, ["model"])):
         df.collect()
-        assert "ReusedExchange" in plan(df)
+        text = plan(df)
+        assert "ReusedExchange" in text and text.count("FileScan") == 1
+
+
+def test_fairness_reads_the_table_once(spark):
+    df = fairness.breakdown(fairness.with_groups(base.scored(spark, SF)), score="ensemble")
+    df.collect()
+    assert plan(df).count("FileScan") == 1
+
+
+def test_folds_read_the_ids_twice_at_most(spark):
+    df = catalog.QUERIES["stratified_folds"](spark, SF)
+    df.collect()
+    assert plan(df).count("FileScan") <= 2
 
 
 def test_first_rows_per_level_are_limited_before_the_shuffle(spark):
