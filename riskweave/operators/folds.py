@@ -14,7 +14,11 @@ from riskweave.operators import ranks
 
 
 def stratified(df: DataFrame, row_id: str, label: str, k: int, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Add a fold in 0..k-1; class counts of any two folds differ by at most one."""
+    """Add a fold in 0..k-1; class counts of any two folds differ by at most one.
+
+    All columns of ``df`` travel with the ids through one shuffle, so select what
+    the next step needs before.
+    """
     ranked = ranks.hash_order(df, [label], row_id, seed, "__rank")
     return ranked.withColumn(out, F.pmod(F.col("__rank"), F.lit(k)).cast("int")).drop("__rank")
 
