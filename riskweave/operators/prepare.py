@@ -100,43 +100,58 @@ class Preparation:
                 value = (value - F.col(f"__mean_{f}")) / F.when(std == 0, 1.0).otherwise(std)
             out.append(value.alias(f))
         for f in self.categorical:
-            out.append(F.coalesce(F.col(f).cast("double"), F.col(f"__fill_{f}")).alias(f))
+            value = F.col(f) if self._is_text(f) else F.col(f).cast("double")
+            out.append(F.coalesce(value, F.col(f"__fill_{f}")).alias(f))
         return joined.select(*keep, *out)
 
+    def _is_text(self, feature: str) -> bool:
+        return any(isinstance(by[feature].fill, str) for by in self.stats.values())
+
     def _wide(self, spark: SparkSession) -> DataFrame:
         rows, names = [], [*self.numeric, *self.categorical]
         for fold, by_feature in sorted(self.stats.items()):
             row = [int(fold)]
             for f in names:
                 s = by_feature[f]
-                row += [_number(s.fill), _number(s.mean), _number(s.std)]
+                fill = s.fill if self._is_text(f) else _number(s.fill)
+                row += [fill, _number(s.mean), _number(s.std)]
             rows.append(tuple(row))
-        cols = ", ".join(f"`__fill_{f}` double, `__mean_{f}` double, `__std_{f}` double" for f in names)
+        cols = ", ".join(
+            f"`__fill_{f}` {'string' if self._is_text(f) else 'double'}, `__mean_{f}` double, `__std_{f}` double"
+            for f in names
+        )
         return spark.createDataFrame(rows, f"fold int, {cols}")
 
     # --- as data -------------------------------------------------------------
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        """The statistics table, one row per (fold, feature)."""
+        """The statistics table, one row per (fold, feature).
+
+        ``fill`` is NULL for a text category, which is in ``fill_json``.
+        """
         rows = []
         for fold, by_feature in self.stats.items():
-            for f, s in by_feature.items():
+            for position, f in enumerate([*self.numeric, *self.categorical]):
+                s = by_feature[f]
                 role = "numeric" if f in self.numeric else "categorical"
-                rows.append((None if fold is None else int(fold), f, role, _number(s.fill), _number(s.mean),
-                             _number(s.std), json.dumps(s.categories)))
-        return spark.createDataFrame(
-            rows, "fold int, feature string, role string, fill double, mean double, std double, categories string"
-        )
+                fill = None if isinstance(s.fill, str) else _number(s.fill)
+                rows.append((None if fold is None else int(fold), f, role, fill, _number(s.mean), _number(s.std),
+                             json.dumps(s.fill), json.dumps(s.categories), position))
+        return spark.createDataFrame(rows, (
+            "fold int, feature string, role string, fill double, mean double, std double, "
+            "fill_json string, categories string, position int"
+        ))
 
     @classmethod
     def from_frame(cls, df: DataFrame) -> "Preparation":
         numeric, categorical, stats = [], [], {}
-        for r in df.collect():
+        # the order of the features is the order of the model's inputs
+        for r in df.orderBy("fold", "position").collect():
             names = numeric if r["role"] == "numeric" else categorical
             if r["feature"] not in names:
                 names.append(r["feature"])
             stats.setdefault(r["fold"], {})[r["feature"]] = FeatureStats(
-                r["fill"], r["mean"], r["std"], json.loads(r["categories"])
+                json.loads(r["fill_json"]), r["mean"], r["std"], json.loads(r["categories"])
             )
         return cls(numeric, categorical, stats)
 

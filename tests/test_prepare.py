@@ -96,6 +96,27 @@ def test_statistics_survive_as_table(spark, ten_rows):
     assert a == b and fitted.feature_names() == again.feature_names()
 
 
+def test_text_categories(spark):
+    rows = [(1, 0, "b", 1.0), (2, 0, "a", 2.0), (3, 1, None, 3.0), (4, 1, "a", None)]
+    df = spark.createDataFrame(rows, "row_id int, fold int, s string, x double")
+    fitted = prepare.fit(df, ["x"], ["s"])
+    again = prepare.Preparation.from_frame(fitted.to_frame(spark))
+    assert again.stats[None]["s"].fill == "a" and again.feature_names() == ["x", "s_a", "s_b"]
+    got = [tuple(r) for r in again.transform(df, keep=["row_id"], scale=False).orderBy("row_id").collect()]
+    assert got == [(1, 1.0, 0.0, 1.0), (2, 2.0, 1.0, 0.0), (3, 3.0, 1.0, 0.0), (4, 2.0, 1.0, 0.0)]
+    by_fold = prepare.fit(df, ["x"], ["s"], fold_col="fold", k=2)
+    out = by_fold.transform_folds(df, ["row_id"], scale=False).orderBy("row_id").collect()
+    assert [(r.s, r.x) for r in out] == [("b", 1.0), ("a", 2.0), ("a", 3.0), ("a", 1.5)]
+
+
+def test_text_and_number_categories_together(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", None)], "s string, c int")
+    fitted = prepare.fit(df, [], ["s", "c"])
+    assert fitted.feature_names() == ["s_a", "s_b", "c_1", "c_2"]
+    assert [tuple(r) for r in fitted.transform(df).collect()] == [
+        (0.0, 1.0, 1.0, 0.0), (1.0, 0.0, 0.0, 1.0), (1.0, 0.0, 1.0, 0.0)]
+
+
 def test_harmonized_fit(spark):
     df = spark.createDataFrame([(50.0, 1.0, 120.0, 200.0, None, 1), (60.0, 0.0, None, 240.0, 1.0, 0)],
                                "age double, sex double, sysBP double, totChol double, diabetes double, target int")
