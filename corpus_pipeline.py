@@ -6,9 +6,9 @@ as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import packing, quality_rules, toxicity
+from riskweave.llm import minhash, packing, quality_rules, toxicity
 from riskweave.llm.common import staged, table
 
 
@@ -22,12 +22,17 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.cleaned(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 in five-word shingles."""
+    return minhash.one_of_each(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its ids and its place in a training sequence."""
     return packing.best_fit_packing(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_rules", clean_lines), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality_rules", clean_lines), ("minhash", drop_near_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 
