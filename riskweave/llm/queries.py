@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import minhash, packing, quality_rules, toxicity
+from riskweave.llm import chat, minhash, packing, quality_rules, toxicity, warc
 from riskweave.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.digests(chat.read_back(chat.formatted(turns)))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+h AS (SELECT p.page_id, g.first, octet_length(encode(p.html)) AS payload_bytes, sha1(p.html) AS hex FROM p JOIN g USING (html))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(hex, CAST(k // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) // CAST(pow(2, 35 - 5 * (k % 8)) AS BIGINT)) % 32 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM h
+"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 @query("op5_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
