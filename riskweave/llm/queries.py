@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import chat, embedding_dedup, minhash, packing, quality_rules, toxicity, url_filter, warc
+from riskweave.llm import chat, embedding_dedup, minhash, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
 from riskweave.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for low quality, 1 for good but toxic, 2 for good.  Kept: P(grade >= 1) of at least one half."""
+    docs = table(spark, sf_dir, "documents")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    return quality_classifier.scores(docs, quality_classifier.learn(docs, ratings), at_least=1)
+
+
 @query("op3_chat_format")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
