@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import chat, embedding_dedup, minhash, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
+from riskweave.llm import chat, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
 from riskweave.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scores(docs, quality_classifier.learn(docs, ratings), at_least=1)
 
 
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = sentencepiece.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    read = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return read.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+
+
 @query("op3_chat_format")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
