@@ -43,7 +43,7 @@ class Coder:
 
 def itq(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
     """A matrix whose signs are the code: principal axes times a learned rotation."""
-    values, axes = np.linalg.eigh(np.cov(sample.T) + 1e-12 * np.eye(sample.shape[1]))
+    values, axes = np.linalg.eigh(sample.T @ sample / len(sample) + 1e-12 * np.eye(sample.shape[1]))
     axes = axes[:, np.argsort(values)[::-1][:bits]]
     projected = sample @ axes
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((axes.shape[1],) * 2))[0]
