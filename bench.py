@@ -38,7 +38,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     again_below = float(os.environ.get("BENCH_AGAIN", "8"))
-    spark = local_session(cpus)
+    spark = local_session(cpus, riskweave__spread="true")
     run_once(spark, "missingness_report", sf_dir)
     times = {}
     for name in HEADLINE + FITTED:

@@ -157,7 +157,26 @@ def ratio(num, den, when_undefined=None) -> Column:
 
 
 def percent_text(p, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", as_column(p) * 100.0)
+    return F.format_string(f"%.{digits}f%%", tie_even(as_column(p) * 100.0, digits))
+
+
+def tie_even(x, digits: int = 1) -> Column:
+    """``x`` rounded to one place, ties of its exact binary value to even.
+
+    ``x * 10`` loses what does not fit a double; that remainder (two-sum of 8x and 2x)
+    tells a true tie from a value just beside one.  No or several digits are rounded
+    without it.
+    """
+    x = as_column(x).cast("double")
+    if digits != 1:
+        return F.bround(x, digits)
+    a, b = x * 8.0, x * 2.0
+    total = a + b
+    back = total - a
+    lost = (a - (total - back)) + (b - back)
+    low = F.floor(total).cast("double")
+    tie = total - low == 0.5
+    return F.when(tie & (lost > 0), low + 1).when(tie & (lost < 0), low).otherwise(F.rint(total)) / 10.0
 
 
 def relative_change(new, original) -> Column:

@@ -208,15 +208,15 @@ def statement(features: list[str], threshold: float) -> Column:
     """The what-if sentence of a row: flipped by one or two features, already
     low, or not flipped."""
     d, p0 = F.col("details"), F.col("initial_prob")
-    texts, limit = fixed.WHAT_IF_TEXTS, F.lit(threshold * 100.0)
-    first = [d["f1"], d["orig_v1"], d["new_v1"]]
-    second = [d["f2"], d["orig_v2"], d["new_v2"]]
-    drop = [p0 * 100.0, d["mod_prob"] * 100.0, limit]
+    texts, limit = fixed.WHAT_IF_TEXTS, C.tie_even(F.lit(threshold * 100.0), 0)
+    first = [d["f1"], C.tie_even(d["orig_v1"]), C.tie_even(d["new_v1"])]
+    second = [d["f2"], C.tie_even(d["orig_v2"]), C.tie_even(d["new_v2"])]
+    drop = [C.tie_even(p0 * 100.0), C.tie_even(d["mod_prob"] * 100.0), limit]
     listed = F.lit("[" + ", ".join(f"'{f}'" for f in features) + "]")
     return (
         F.when(d["type"] == "single", F.format_string(texts["single"], *first, *drop))
         .when(d["type"] == "dual", F.format_string(texts["dual"], *first, *second, *drop))
-        .when(p0 <= threshold, F.format_string(texts["low"], p0 * 100.0))
+        .when(p0 <= threshold, F.format_string(texts["low"], C.tie_even(p0 * 100.0)))
         .otherwise(F.format_string(texts["none"], listed, limit))
     )
 

@@ -96,9 +96,12 @@ def extended(df: DataFrame, keys: list[str] = (), label: str = "y_true", pred: s
     """All metrics of a scored table in one plan.
 
     Label, prediction and score are reduced to counts per distinct score once;
-    the confusion counts and the rank metrics both come from that.
+    the confusion counts and the rank metrics both come from that.  Rows
+    without a label or a prediction are left out, and those without a score where
+    scores are measured.
     """
     keys = list(keys)
+    df = df.dropna(subset=[label, pred, *([score] if score else [])])
     if score is None:
         return rates(confusion(df, keys, label, pred, weight)).withColumns(
             {"roc_auc": F.lit(None).cast("double"), "pr_auc": F.lit(None).cast("double")}
@@ -131,7 +134,8 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: list[str] = ()) -
     """Equal-width histogram between the observed extremes (data only).
 
     The two extremes come from one aggregate and enter the plan as literals;
-    counts are reduced before the shuffle.
+    counts are reduced before the shuffle.  Every bin is there, empty ones with 0
+    rows, for every key that occurs; without any value there are no bins.
     """
     keys = list(keys)
     span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
@@ -142,9 +146,13 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: list[str] = ()) -
     if width == 0.0:
         lo, width = lo - 0.5, 1.0 / bins
     index = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # a key's bins meet in one row, so the empty ones need no join
+    filled = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n"))
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        filled.where(F.size("_n") > 0)
+        .select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        .select(*keys, "bin", F.coalesce(F.col("_n")[F.col("bin")], F.lit(0)).alias("n"))
         .withColumns({
             "bin_lo": F.lit(lo) + F.col("bin") * F.lit(width),
             "bin_hi": F.lit(lo) + (F.col("bin") + 1) * F.lit(width),

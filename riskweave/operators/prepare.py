@@ -19,8 +19,6 @@ from riskweave.operators import cleaning, ranks
 # relative rank error of the quantile sketch behind the exact median
 _SKETCH = 10000
 _MARGIN = 2.0 / _SKETCH
-# rows near a median that one sort may hold; beyond, the sort is split at cut points
-_ONE_TASK_VALUES = 2_000_000
 
 
 @dataclass
@@ -161,20 +159,23 @@ def _number(v):
 
 
 def _category_text(v) -> str:
-    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    """A category as it is: a double 1 is ``1.0``, an integer 1 is ``1``."""
+    return str(v)
 
 
 # --- fitting -----------------------------------------------------------------
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str] = (), fold_col: str | None = None,
-        k: int | None = None, max_categories: int = 1000) -> Preparation:
+        k: int | None = None, one_hot: bool = True, max_categories: int | None = None) -> Preparation:
     """Fit medians, modes, means, population deviations and categories.
 
     With ``fold_col`` (values 0..k-1) one fit per fold, each from the rows of the
     other folds.  Numeric features take three narrow passes (moments and sketch,
     counts below, the few values around the median), categorical ones two.  Fold
     numbers come out of a shuffle, so a fold-wise fit keeps the columns it needs
-    while it runs; a plain fit reads the scan again.
+    while it runs; a plain fit reads the scan again.  ``one_hot=False`` fits modes
+    without their list of categories, for imputation of any number of values;
+    ``max_categories`` refuses longer lists where a caller wants that.
     """
     if fold_col is not None and k is None:
         k = df.select(F.max(fold_col)).first()[0] + 1
@@ -186,7 +187,11 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str] = (), fold_col
         if numeric:
             _fit_numeric(df, list(numeric), fold_col, fits, stats)
         if categorical:
-            _fit_categorical(df, list(categorical), fold_col, fits, stats, max_categories)
+            types = dict(df.dtypes)
+            for kind, cast in (("text", "string"), ("whole", "long"), ("number", "double")):
+                names = [c for c in categorical if _kind(types[c]) == kind]
+                if names:
+                    _fit_categorical(df, names, cast, fold_col, fits, stats, one_hot, max_categories)
     finally:
         if fold_col is not None:
             df.unpersist()
@@ -283,8 +288,7 @@ def _middle_values(df, names, fold_col, fits, todo, sizes) -> dict:
             for i, p in enumerate(parts)
         ])
     )
-    biggest = max(sum(r[f"i_{j}"] for r in counted.values()) for j in todo)
-    cuts = ranks.cut_points(inside, "x") if biggest > _ONE_TASK_VALUES else []
+    cuts = ranks.cut_points(inside, "x")
     measures = [f"c_{i}" for i in range(len(parts))]
     ranked = ranks.running_totals(inside, ["j"], "x", measures, cuts)
     picks, wanted = [], {}
@@ -312,15 +316,18 @@ def _middle_values(df, names, fold_col, fits, todo, sizes) -> dict:
     return found
 
 
-def _fit_categorical(df, names, fold_col, fits, stats, max_categories) -> None:
+def _kind(type_name: str) -> str:
+    if type_name in ("tinyint", "smallint", "int", "bigint"):
+        return "whole"
+    return "number" if type_name in ("float", "double") or type_name.startswith("decimal") else "text"
+
+
+def _fit_categorical(df, names, cast, fold_col, fits, stats, one_hot, max_categories) -> None:
     """Modes (ties to the smallest) and sorted categories.
 
     The feature values are reduced to counts per (feature, value) with one count
     column per fold; a training count is the sum over the other folds.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    kinds = {types[n] for n in names}
-    cast = "string" if "string" in kinds else "double"
     parts = ", ".join(f"'{n}', cast(`{n}` as {cast})" for n in names)
     keep = [] if fold_col is None else [fold_col]
     long = df.select(*keep, F.expr(f"stack({len(names)}, {parts}) as (feature, value)"))
@@ -339,9 +346,9 @@ def _fit_categorical(df, names, fold_col, fits, stats, max_categories) -> None:
     summary = {r["feature"]: r for r in tally.groupBy("feature").agg(*picks).collect()}
     for f, r in summary.items():
         for i in range(len(fits)):
-            if r[f"size_{i}"] > max_categories:
+            if max_categories is not None and r[f"size_{i}"] > max_categories:
                 raise ValueError(f"{f} has {r[f'size_{i}']} categories, more than {max_categories}")
-    categories = {
+    categories = {} if not one_hot else {
         r["feature"]: r for r in tally.groupBy("feature").agg(*[
             F.array_sort(F.collect_list(F.when(F.col(f"c_{i}") > 0, F.col("value")))).alias(f"all_{i}")
             for i in range(len(fits))
@@ -352,7 +359,7 @@ def _fit_categorical(df, names, fold_col, fits, stats, max_categories) -> None:
             if f not in summary or not summary[f][f"size_{i}"]:
                 stats[fold][f] = FeatureStats(None)
             else:
-                stats[fold][f] = FeatureStats(summary[f][f"mode_{i}"], categories=categories[f][f"all_{i}"])
+                stats[fold][f] = FeatureStats(summary[f][f"mode_{i}"], categories=categories[f][f"all_{i}"] if one_hot else [])
 
 
 def fit_cohort(df: DataFrame, roles: str = "dtype", **kw) -> Preparation:

@@ -101,17 +101,19 @@ def label_ranks(df: DataFrame, keys: list[str], label: str, score: str,
 
 
 def hash_order(df: DataFrame, strata: list[str], row_id: str, seed: int, out: str = "__rank",
-               prefix_digits: int = 3) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """0-based position of every row inside its stratum in md5 order.
 
-    The digest's leading hex digits are the bucket.  A digest is uniform
-    whatever the ids look like, so a stratum that holds most of the rows is
-    still split evenly over ``16 ** prefix_digits`` windows; their sizes give the
-    offsets (that many rows per stratum, and no more).
+    Buckets are equal ranges of the digest's leading 32 bits, as many as there are
+    shuffle partitions, or as asked.  A digest is uniform whatever the ids look like,
+    so a stratum that holds most of the rows is still split evenly; the buckets'
+    sizes give the offsets.
     """
+    if buckets is None:
+        buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed)))))
     stand_ins = _never_null(df, strata)
-    hashed = hashed.withColumns({_BUCKET: F.coalesce(F.substring("__h", 1, prefix_digits), F.lit("")), **stand_ins})
+    hashed = hashed.withColumns({_BUCKET: F.coalesce(F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32), F.lit(-1)), **stand_ins})
     on = [*stand_ins, _BUCKET]
     sizes = hashed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*stand_ins).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)

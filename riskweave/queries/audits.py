@@ -315,11 +315,11 @@ def agreement_examples(spark, sf_dir):
 
 @query("agreement_histogram", f"""WITH {AGREE_CTE},
 s AS (SELECT round(std_dev, 9) AS v FROM agreed),
-e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20e0 AS w FROM s)
-SELECT CAST(least(floor((v - lo) / w), 19) AS INTEGER) AS bin, count(*) AS n,
-  round(any_value(lo + CAST(least(floor((v - lo) / w), 19) AS INTEGER) * w), 12) AS bin_lo,
-  round(any_value(lo + (CAST(least(floor((v - lo) / w), 19) AS INTEGER) + 1) * w), 12) AS bin_hi
-FROM s, e GROUP BY bin""")
+e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20e0 AS w FROM s),
+c AS (SELECT CAST(least(floor((v - lo) / w), 19) AS INTEGER) AS bin, count(*) AS n FROM s, e GROUP BY bin),
+b AS (SELECT CAST(i AS INTEGER) AS bin FROM range(20) r(i))
+SELECT b.bin, coalesce(n, 0) AS n, round(lo + b.bin * w, 12) AS bin_lo, round(lo + (b.bin + 1) * w, 12) AS bin_hi
+FROM b LEFT JOIN c ON c.bin = b.bin, e""")
 def agreement_histogram(spark, sf_dir):
     rows = _agreed(spark, sf_dir).select(F.round("std_dev", 9).alias("v"))
     return metrics.histogram(rows, "v", 20).select("bin", "n", *_r("bin_lo", "bin_hi", digits=12))

@@ -32,7 +32,7 @@ _MODE_SQL = ", ".join(
 SELECT row_id, {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _CAT)} FROM clean, m""")
 def mode_impute(spark, sf_dir):
     df = clean(spark, sf_dir)
-    stats = prepare.fit(df, [], _CAT).stats[None]
+    stats = prepare.fit(df, [], _CAT, one_hot=False).stats[None]
     return df.select("row_id", *[F.coalesce(c, F.lit(stats[c].fill)).alias(c) for c in _CAT])
 
 

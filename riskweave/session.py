@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SPREAD_KEY = "riskweave.spread"
 
 
 def local_session(cores: int | str = 8, **conf) -> SparkSession:
@@ -35,26 +36,28 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-    unset (tests on one machine) is a temporary folder made and remembered in
-    the session.
+    unset on one machine (tests) is a temporary folder made and remembered in
+    the session; on a cluster executors would write to disks of their own.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="riskweave-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return os.path.join(base, name, uuid.uuid4().hex)
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all of them.
+    """A scan dealt out to all cores, in sessions that ask for it (``riskweave.spread``).
 
-    A small table often lies in one file with one row group: one task would then
-    do all the work of a compute-heavy plan.  A table with enough splits is
-    returned as it is, so at scale this adds no shuffle.  For scans and narrow
-    steps on them; their split count is known without running anything.
+    A small table lies in one file with one row group, and one task would do all the
+    work.  Benchmarks on such tables turn this on; by default plans are those of any size.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    spark = scan.sparkSession
+    if spark.conf.get(SPREAD_KEY, "false") != "true":
+        return scan
+    return scan.repartition(spark.sparkContext.defaultParallelism)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

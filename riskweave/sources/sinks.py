@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions import fixed
 
@@ -14,22 +14,27 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 def what_if_text(found: DataFrame, row_id: str = "row_id") -> DataFrame:
     """One text value per row: heading, statement, rule."""
-    return found.select(F.concat_ws(
+    return found.select(what_if_value(row_id).alias("value"))
+
+
+def what_if_value(row_id: str) -> Column:
+    return F.concat_ws(
         "\n", F.format_string(fixed.WHAT_IF_ROW_HEAD, F.col(row_id).cast("string")), F.col("statement"),
         F.lit(fixed.WHAT_IF_ROW_RULE), F.lit(""),
-    ).alias("value"))
+    )
 
 
 def write_what_if(found: DataFrame, path: str, row_id: str = "row_id") -> None:
     """Statements as text, the disclaimer first.
 
-    The header is one more row that sorts first; a few statements (the usual
+    The header is one more row that sorts first, then rows by ``row_id``, numbers as
+    numbers; a few statements (the usual
     case) end in one file, many stay split over ordered files.
     """
     spark = found.sparkSession
     header = spark.range(1).select(
-        F.lit(0).alias("__o"), F.lit(None).cast("string").alias("__k"),
+        F.lit(0).alias("__o"), F.lit(None).cast(found.schema[row_id].dataType).alias("__k"),
         F.lit(fixed.WHAT_IF_DISCLAIMER + "\n\n" + fixed.WHAT_IF_RULE + "\n").alias("value"),
     )
-    body = what_if_text(found, row_id).select(F.lit(1).alias("__o"), F.col("value").alias("__k"), "value")
+    body = found.select(F.lit(1).alias("__o"), F.col(row_id).alias("__k"), what_if_value(row_id).alias("value"))
     header.unionByName(body).orderBy("__o", "__k").select("value").write.mode("overwrite").text(path)

@@ -121,3 +121,21 @@ def test_text_sink(spark, cohort, tmp_path):
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert text.startswith("DISCLAIMER:") and "=" * 80 in text
     assert [f"PATIENT INDEX: {i}" in text for i in range(4)] == [True, True, True, False]
+
+
+def test_report_keeps_the_order_of_rows(spark, tmp_path):
+    from riskweave.sources import sinks
+
+    found = spark.createDataFrame([(10, "x"), (2, "z"), (9, "y")], "row_id long, statement string")
+    sinks.write_what_if(found, str(tmp_path / "r"))
+    lines = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r")).collect()).split("\n")
+    assert [x for x in lines if x.startswith("PATIENT")] == [f"PATIENT INDEX: {i}" for i in (2, 9, 10)]
+
+
+def test_percent_ties_go_to_even(spark):
+    from riskweave.functions import columns as C
+
+    values = [12.25, 12.35, 12.75, 0.05, 0.15, 99.95, 1e-9, 50.0, -0.25, 33.349999999999994]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(F.format_string("%.1f", C.tie_even("v"))).collect()]
+    assert got == [f"{v:.1f}" for v in values]

@@ -139,3 +139,15 @@ def test_subgroups_sum_and_order(spark):
     bands = [r.subgroup for r in fairness.subgroups(df, "age_band").orderBy("subgroup").collect()]
     assert bands == ["50-60", "< 50", "> 60"]
     assert [r.dimension for r in fairness.breakdown(df.drop("source_site")).select("dimension").distinct().orderBy("dimension").collect()] == ["age_band", "sex_label"]
+
+
+def test_histogram_shows_empty_bins(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 0.05), ("b", None)], "k string, v double")
+    got = {(r.k, r.bin): r.n for r in metrics.histogram(df, "v", 4, ["k"]).collect()}
+    assert got == {(k, b): int((k, b) in {("a", 0), ("a", 3), ("b", 0)}) for k in "ab" for b in range(4)}
+
+
+def test_rows_without_a_score_do_not_rank(spark):
+    df = spark.createDataFrame([(1, 1, 0.9), (0, 0, 0.1), (1, 0, None)], "y_true int, y_pred int, y_prob double")
+    both = metrics.extended(df).first(), metrics.rank_metrics(df).first()
+    assert both[0].roc_auc == both[1].roc_auc == 1.0 and both[0].n == 2

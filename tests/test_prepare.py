@@ -27,8 +27,7 @@ def test_median_mean_std_equal_numpy(spark, n, kind):
     assert s.mean == pytest.approx(np.mean(filled)) and s.std == pytest.approx(np.std(filled))
 
 
-def test_many_values_near_the_median_are_split(spark, monkeypatch):
-    monkeypatch.setattr(prepare, "_ONE_TASK_VALUES", 1)
+def test_many_values_near_the_median_are_split(spark):
     values = [float(v) for v in np.random.default_rng(0).normal(size=2001)]
     df = spark.createDataFrame([(v, i % 4) for i, v in enumerate(values)], "x double, fold int")
     assert prepare.fit(df, ["x"]).stats[None]["x"].fill == np.median(values)
@@ -81,6 +80,17 @@ def test_category_limit(spark):
         prepare.fit(df, [], ["c"], max_categories=10)
 
 
+def test_modes_of_any_number_of_categories(spark):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id")).alias("c")).union(spark.createDataFrame([("v7",)], "c string"))
+    assert prepare.fit(df, [], ["c"], one_hot=False).stats[None]["c"].fill == "v7"
+
+
+def test_names_show_a_category_in_its_own_type(spark):
+    df = spark.createDataFrame([(1.0, 1, "1"), (2.5, 2, "b")], "d double, i int, s string")
+    assert prepare.fit(df, [], ["d", "i", "s"]).feature_names() == ["d_1.0", "d_2.5", "i_1", "i_2", "s_1", "s_b"]
+    assert prepare.fit(df, [], ["d"]).feature_names() == ["d_1.0", "d_2.5"]
+
+
 def test_constant_and_empty_features(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, None)], "a double, b double")
     fitted = prepare.fit(df, ["a", "b"])
