@@ -54,7 +54,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
 h AS (SELECT p.page_id, g.first, octet_length(encode(p.html)) AS payload_bytes, sha1(p.html) AS hex FROM p JOIN g USING (html))
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(hex, CAST(k // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) // CAST(pow(2, 35 - 5 * (k % 8)) AS BIGINT)) % 32 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
@@ -97,7 +97,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
-@query("op9_quality_rules")
+def quality_rules_sql() -> str:
+    quote = lambda text: text.replace("'", "''")
+    words = lambda text: rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS pos, w FROM t),
+g AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w[pos], w[pos + 1], w[pos + 2]) AS times FROM i),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM g WHERE times > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+v AS (SELECT *, len(w) AS n FROM (SELECT doc_id, line, {words("line")} AS w FROM l)),
+j AS (SELECT doc_id, line, w, n > 0 AND (
+    (n < 4 AND NOT regexp_matches(line, '{quote(quality_rules.SENTENCE_END)}'))
+    OR (n <= 12 AND regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}'))
+    OR (n >= 5 AND len(regexp_extract_all(line, '[#*$%&|<>]')) * 4 >= n)
+    OR (len(list_filter(w, lambda x: x IN ('|', '›', '»', '•', '·', '>'))) >= 3 AND len(list_filter(w, lambda x: x IN ('|', '›', '»', '•', '·', '>'))) * 4 >= n)
+    OR (n >= 5 AND regexp_matches(line, '\p{{Lu}}{{3}}') AND len(regexp_extract_all(line, '\p{{Lu}}')) * 10 >= len(regexp_extract_all(line, '\p{{L}}')) * 7)
+    OR (n >= 8 AND len(list_distinct(w)) * 3 <= n)) AS fails FROM v),
+s AS (SELECT doc_id, count(*) FILTER (len(w) > 0) - count(DISTINCT line) FILTER (len(w) > 0) AS dup,
+  coalesce(sum(length(array_to_string(w, ''))) FILTER (fails), 0) AS lost FROM j GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, lost FROM t JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)),
+d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN 100e0 * lost / word_chars ELSE 0e0 END AS lost_pct FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_pct, NOT base_failed AND lost_pct <= 50 AS kept FROM d
+"""
+
+
+@query("op9_quality_rules", quality_rules_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
