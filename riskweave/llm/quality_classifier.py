@@ -43,8 +43,8 @@ def features(texts: list[str | None], cache: Cache, buckets: int) -> list[tuple[
     out = []
     for text in texts:
         words = (text or "").split()
-        pairs = np.array([cache[w] for w in words], np.int64).reshape(-1, 2)
-        slots, counts = np.unique(pairs.reshape(-1), return_counts=True)
+        both = np.array([cache[w] for w in words], np.int64)
+        slots, counts = np.unique(np.concatenate([both // buckets, both % buckets]), return_counts=True)
         values = np.log1p(counts)
         repeated = int(10 * (1 - len(set(words)) / len(words))) if words else 0
         extra = np.array([slot(f"repeat {repeated}", buckets), slot(f"length {min(len(words), 1 << 20).bit_length()}", buckets)])
@@ -54,7 +54,8 @@ def features(texts: list[str | None], cache: Cache, buckets: int) -> list[tuple[
 
 
 def word_slots(buckets: int):
-    return lambda w: (slot(w.lower(), buckets), slot("shape " + shape(w), buckets))
+    """A word's slot and its shape's, in one number."""
+    return lambda w: slot(w.lower(), buckets) * buckets + slot("shape " + shape(w), buckets)
 
 
 @dataclass
