@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskweave.llm.common import staged
-from riskweave.llm.graph import components
+from riskweave.llm.graph import components, spanning
 
 
 @dataclass
@@ -184,21 +184,3 @@ def linked(frame: DataFrame, *, threshold: float = 0.95, miss: float = 0.01, sam
     return named.union(nameless).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
-
-
-def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """A forest with the same components as the links."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-    out = []
-    for x, y in zip(a, b):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out

@@ -38,6 +38,24 @@ def _forest(batches):
     yield from links()
 
 
+def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A forest with the same components as the links."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+    out = []
+    for x, y in zip(a, b):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node reachable.
 

@@ -8,9 +8,9 @@ where ordinary MinHash needs as many as the signature is long.
 Texts with the same shingle set count as one from the start, however many copies.
 Documents that agree in a band are candidates.  In each bucket all members are
 compared with the smallest one; where that leaves a bucket in several components,
-members of different components are compared in tiles of bounded size.  So every
-candidate pair is confirmed on the full sets or lies in one component already, and
-the pairs of a large group of copies are never listed.
+its other members are compared in tiles of bounded size, whose intersections are
+matrix products.  So every candidate pair is confirmed on the full sets or lies in
+one component already, and the pairs of a large group of copies are never listed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.llm.common import staged
-from riskweave.llm.graph import components
+from riskweave.llm.graph import components, spanning
 
 BLOCK = 1 << 20   # bytes of text hashed at a time
 ONE = np.uint64(1)
@@ -203,14 +203,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 26, rows: int = 5, tile: int = 256) -> DataFrame:
+def _tile_links(percent: int):
+    """Links inside a tile (or between its two sides), exact, as a spanning forest."""
+    def meetings(sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of all intersections: products of incidence matrices, a slice of the shared hashes at a time."""
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        fresh = np.concatenate([[True], values[1:] != values[:-1]])
+        column = np.cumsum(fresh) - 1
+        shared = np.bincount(column)[column] > 1
+        column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+        out = np.zeros((len(sets), len(sets)), np.float32)
+        width = max(256, 4_000_000 // len(sets))
+        for at in range(0, int(column.max()) + 1 if len(column) else 0, width):
+            inside = slice(*np.searchsorted(column, [at, at + width]))
+            matrix = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
+            matrix[owner[inside], column[inside] - at] = 1
+            out += matrix @ matrix.T
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for some in batch.column("some"):
+                members = _members(some)
+                side = np.array([m[0] for m in members])
+                sizes = np.array([len(m[2]) for m in members])
+                both = meetings([m[2] for m in members])
+                near = 100 * both.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - both)
+                if side.any():
+                    near &= side[:, None] != side[None, :]
+                x, y = np.nonzero(np.triu(near, 1))
+                links = spanning([members[i][1] for i in x.tolist()], [members[i][1] for i in y.tolist()])
+                if links:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+    return run
+
+
+def _members(some: pa.ListScalar) -> list[tuple[int, int, np.ndarray]]:
+    """(side, doc_id, hashes) of a list of structs, hashes as views."""
+    table = some.values
+    lists = table.field("hashes")
+    flat, at = lists.values.to_numpy(), lists.offsets.to_pylist()
+    return [(s, d, flat[i:j]) for s, d, i, j in zip(table.field("side").to_pylist(), table.field("doc_id").to_pylist(), at, at[1:])]
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 26, rows: int = 5, tile: int = 400_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of
     fewer than ``size`` words is one shingle, a text without words (or NULL) is
     linked with nothing.  Links are pairs with a Jaccard similarity of at least
     ``percent`` %; a pair at 85 % is missed with probability 4e-7, at 80 % 3e-5, by
-    the default bands.  component_id is the smallest doc_id reachable.  Rows that
+    the default bands.  ``tile`` bounds the shingles of a block of documents that are
+    compared at once.  component_id is the smallest doc_id reachable.  Rows that
     repeat a doc_id with the same set give one row; a doc_id with several sets links
     through all of them and gives a row for each.  A NULL doc_id is linked with
     nothing, has component NULL, and is kept.
@@ -237,18 +283,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
 
     # buckets that still hold several components: their members, but for the first, against each other
     labelled = (buckets.where("members > 2").join(found, F.col("doc_id") == F.col("node"), "left")
-                .select("key", "members", "doc_id", "n", "first", F.coalesce("component", "doc_id").alias("component")))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / tile))
-    tiles = (labelled.where("doc_id <> first").join(split, "key").groupBy("key", block.alias("block"))
-             .agg(F.collect_list(F.struct("doc_id", "n", "component")).alias("some")))
-    tiles = staged(tiles, "tiles")
-    other = tiles.select("key", F.col("block").alias("block2"), F.col("some").alias("some2"))
-    crossed = F.flatten(F.transform("some", lambda x: F.transform(F.filter("some2", lambda y: (
-        (x["component"] != y["component"]) & alike(x["n"], y["n"]) & ((F.col("block") < F.col("block2")) | (x["doc_id"] < y["doc_id"])))),
-        lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")))))
-    rest = (tiles.join(other, "key").where("block <= block2").select(F.explode(crossed).alias("p")).select("p.*").distinct())
-    more = staged(confirmed(rest, sets, percent), "links")
+                .select("key", "doc_id", "n", "first", F.coalesce("component", "doc_id").alias("component")))
+    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("weight")).where("lo < hi").select("key", "weight")
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("weight") / tile))
+    blocks = staged(labelled.where("doc_id <> first").join(split, "key").groupBy("key", block.alias("block"))
+                    .agg(F.array_sort(F.collect_list("doc_id")).alias("ids")), "blocks")
+    other = blocks.select("key", F.col("block").alias("block2"), F.col("ids").alias("ids2"))
+    nothing = F.array().cast("array<bigint>")
+    # the same documents often meet in several buckets: once is enough
+    tiles = staged(blocks.where(F.size("ids") > 1).select("ids", nothing.alias("ids2"))
+                   .union(blocks.join(other, "key").where("block < block2").select("ids", "ids2")).distinct()
+                   .select(F.md5(F.concat_ws(",", F.concat("ids", F.array(F.lit(-1).cast("long")), "ids2").cast("array<string>"))).alias("name"), "ids", "ids2"), "tiles")
+    sides = tiles.select("name", F.explode("ids").alias("doc_id"), F.lit(0).alias("side")).union(tiles.select("name", F.explode("ids2").alias("doc_id"), F.lit(1).alias("side")))
+    filled = sides.join(sets, "doc_id").groupBy("name").agg(F.collect_list(F.struct("side", "doc_id", "hashes")).alias("some"))
+    more = staged(filled.mapInArrow(_tile_links(percent), "a long, b long"), "links")
     several = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     same_id = (known.join(several, "doc_id", "left_semi").join(sets_known.select("digest", F.col("doc_id").alias("b")), "digest")
                .select(F.col("doc_id").alias("a"), "b"))

@@ -66,7 +66,7 @@ def test_chains_copies_and_tiles(spark):
         now[int(rng.integers(0, 60))] = f"new{i}"
     rows += [(200 + i, " ".join(base).upper()) for i in range(5)]
     rows += [(300, None), (301, ""), (302, " \n"), (303, "one"), (304, "One "), (305, "one two"), (306, "one two")]
-    assert near(spark, rows, size=3, percent=85, tile=2) == brute(rows, 3, 85)
+    assert near(spark, rows, size=3, percent=85, tile=150) == brute(rows, 3, 85)
 
 
 def test_null_ids_repeated_rows_and_clashing_columns(spark):
