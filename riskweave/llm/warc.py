@@ -5,8 +5,9 @@ record of its own: the first segment, then ``continuation`` records, as the form
 has it for oversized payloads.  So no step holds a whole large record, neither
 when writing nor when reading.  Spark's text writer, with the blank line that ends
 a WARC record as its line separator, writes the archives through the usual commit
-of tasks and to any store.  Rows are dealt out evenly, by number, so that an
-archive stays near ``archive_bytes``; archives are read one at a time.
+of tasks and to any store, without a shuffle: each task writes what it has read.  An
+archive holds at most ``max_records`` chunks, so its size is bounded too (typically
+16 MB); archives are read one at a time.
 
 Reading gives a record table again.  Digests of segmented payloads are carried from
 chunk to chunk over rows sorted by record and chunk number.
@@ -21,12 +22,13 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskweave.llm.common import as_batch
+from riskweave.llm.common import as_batch, staged
 from riskweave.session import work_folder
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
-CHUNK = 1 << 20
+CHUNK = 1 << 16
+MAX_RECORDS = 4096
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 
@@ -55,14 +57,16 @@ def records(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:
     largest page_id is the response, the others revisit it; smaller ones are all
     responses.  A NULL html is an empty payload.  Of rows that repeat the largest
     page_id with the same payload all are responses.  A NULL page_id sorts below all
-    numbers.  A revisit carries no html on: copies do not travel further.
+    numbers.  A revisit carries no html on.  The table of repeated payloads is written
+    first, so that Spark knows its size when it chooses the join: while it is small, no
+    payload is shuffled.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).select(
         "*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.encode("html", "UTF-8")).alias("_sha1"))
     # sums on the map side leave a row per payload and task, however many copies there are
-    first = (rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("_sha1", "payload_bytes")
-             .agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    first = staged(rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("_sha1", "payload_bytes")
+             .agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "payloads")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return rows.join(first, ["_sha1", "payload_bytes"], "left").select(
         "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", base32(F.col("_sha1")).alias("payload_digest"),
@@ -98,11 +102,9 @@ def chunked(made: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.lit("WARC/1.1\r\n"), header, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block).alias("value"))
 
 
-def write(made: DataFrame, path: str, *, chunk: int = CHUNK, archive_bytes: int = 16 << 20) -> None:
-    """Archives below ``path``, about ``archive_bytes`` each."""
-    total, n = made.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")), F.count("*")).first()
-    archives = max(1, -(-((total or 0) + 700 * n) // archive_bytes))
-    chunked(made, chunk).select("value").repartition(archives).write.option("lineSep", END).text(path)
+def write(made: DataFrame, path: str, *, chunk: int = CHUNK, max_records: int = MAX_RECORDS) -> None:
+    """Archives below ``path``, of at most ``max_records`` chunks each."""
+    chunked(made, chunk).select("value").write.option("lineSep", END).option("maxRecordsPerFile", max_records).text(path)
 
 
 # --- reading ------------------------------------------------------------------
