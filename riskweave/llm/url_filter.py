@@ -9,6 +9,8 @@ token and then has to hold the rest.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,8 +29,8 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct host labels and path words; digits count as one kind of token."""
-    labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
+    """Distinct words of host labels and path; digits in a path count as one kind of token."""
+    labels = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
     words = F.transform(F.filter(F.split(F.lower(path), r"[/._-]+"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(x, r"\d+", "9")))
     return F.array_distinct(F.concat(labels, words))
 
@@ -46,18 +48,21 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = 0.01, min_pages: int = 20, min_confidence: float = 0.5) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = 0.0, min_pages: int = 20, min_confidence: float = 0.5) -> DataFrame:
     """Token combinations that go with bad pages: antecedent, confidence, support, rarest.
 
     ``labels`` has page_id and bad.  Pages without a label are not learned from; with
-    several labels, bad wins.  Support is the share of labelled pages that hold the
-    combination and are bad; it has to be ``min_support`` and ``min_pages`` pages.
+    several labels, bad wins.  A combination needs ``min_pages`` bad pages that hold it,
+    however many pages there are; ``min_support`` is a further floor as a share of the
+    labelled pages, unused by default.
     """
     marks = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     baskets = (pages.select(F.col("page_id").cast("long").alias("page_id"), tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("items"))
                .join(marks, "page_id").select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
-    least = min(1.0, max(min_support, min_pages / max(baskets.count(), 1)))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    n = max(baskets.count(), 1)
+    least = math.ceil(max(min_support * n, min_pages))
+    # FP-growth rounds share * n up again: half a page less cannot round past the wanted number
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where("lift > 1")
              .select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"))
     # a combination goes if part of it is as sure

@@ -67,6 +67,29 @@ def test_mined_combinations_equal_brute_force(spark):
     assert out == {i: "block" if "//ads." in u and ".org/" in u else "allow" for i, u in rows}
 
 
+def test_default_support_finds_hosts_of_a_thousandth_of_the_pages(spark):
+    """Three bad hosts of 30 pages each among 30,000; one bad name has many hosts that share a word."""
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    url = (F.when((i % 1000 == 1), F.format_string("http://casino-win%d.com/p/%d", i, i))
+           .when(i % 1000 == 2, F.format_string("http://ads.track.net/p/%d", i))
+           .when(i % 1000 == 3, F.format_string("http://free-bets.org/p/%d", i))
+           .otherwise(F.format_string("http://site%d.%s/p/%d", i % 97, F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (i % 3 + 1).cast("int")), i)))
+    pages = spark.range(30_000).select(i.alias("page_id"), url.alias("url"))
+    labels = spark.range(30_000).select(i.alias("page_id"), (i % 1000).isin(1, 2, 3).alias("bad"))
+    out = U.judge(pages, labels, []).where("verdict = 'block'").select("page_id").collect()
+    assert {r.page_id for r in out} == {k for k in range(30_000) if k % 1000 in (1, 2, 3)}
+
+
+def test_support_is_not_rounded_up_past_the_wanted_pages(spark):
+    """20 / n * n is above 20 for this n."""
+    n = next(k for k in range(60, 500) if 20 / k * k > 20)
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 20 else 'good'}.com/{i}") for i in range(n)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 20) for i in range(n)], "page_id long, bad boolean")
+    assert ["host=bad"] in [r.antecedent for r in U.mine(pages, labels).collect()]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     plan = U.judge(df, spark.createDataFrame([], "page_id long, bad boolean"), queries.URL_RULES)._jdf.queryExecution().toString()
