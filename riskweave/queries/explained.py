@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import columns as C, fixed
 from riskweave.operators import agreement, cleaning, counterfactual, explain, learners, scoring, search, stability
-from riskweave.operators import harmonize, metrics, prepare
+from riskweave.operators import harmonize, prepare
 from riskweave.plans import external as external_plan, nested, stability as stability_plan, train
 from riskweave.queries.base import (
     COHORT_CTE, LINEITEM_AS_COHORT, SCORED_CTE, base_probabilities, clean, feature_map, query, raw_cohort,
@@ -219,10 +219,11 @@ def shapley_exact(spark, sf_dir):
 
 @query("surrogate_fit")
 def surrogate_fit(spark, sf_dir):
-    """Local linear weights around every row (draws are a parameter)."""
+    """Local linear weights around every row; missing values are medians."""
     names = ["age", "oldpeak", "chol", "thalach"]
-    df = clean(spark, sf_dir).where(F.col("chol").isNotNull()).select("row_id", *names, "trestbps")
-    return explain.surrogate(df, _curved, names, explain.quartile_bins(df, names), samples=50, top_k=3)
+    df = clean(spark, sf_dir)
+    df = prepare.fit(df, [*names, "trestbps"]).transform(df, keep=["row_id"], scale=False)
+    return explain.surrogate(df, _curved, names, explain.quartile_bins(df, names), top_k=3)
 
 
 # --- counterfactuals ---------------------------------------------------------
@@ -373,17 +374,6 @@ def score_report(spark, sf_dir):
 
 # small ensembles: the searches below run over whole tables, so the models are
 # kept short; the default spaces are those of the library
-_SMALL_SPACES = {
-    "random_forest": {"n_estimators": ("int", 4, 8), "max_depth": ("int", 2, 5),
-                      "max_features": ("choice", "sqrt", "log2", None)},
-    "xgboost": {"n_estimators": ("int", 3, 6), "max_depth": ("int", 1, 3), "learning_rate": ("log", 0.1, 0.3)},
-    "adaboost": {"n_estimators": ("int", 3, 6), "learning_rate": ("log", 0.5, 1.5)},
-}
-_SMALL_PARAMS = {
-    "random_forest": {"n_estimators": 8, "max_depth": 5}, "xgboost": {"n_estimators": 6, "max_depth": 3},
-    "adaboost": {"n_estimators": 6},
-}
-
 _U = "CAST(CAST('0x' || substr(md5('42|{kind}|' || CAST({id} AS STRING) || '|{name}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
 
 
@@ -426,14 +416,12 @@ def search_trials_adaboost(spark, sf_dir):
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    """Trial table of a small boosting search over the cohort."""
+    """Trial table of a boosting search over the cohort."""
     df = clean(spark, sf_dir)
     fitted = prepare.fit(df, fixed.FEATURE_COLUMNS)
     names = fitted.feature_names()
     ready = learners.assemble(fitted.transform(df, keep=["row_id", "target"]), names)
-    _, _, trials = search.search(
-        ready, "xgboost", names, "row_id", k=2, n_trials=2, space=_SMALL_SPACES["xgboost"], parallelism=4
-    )
+    _, _, trials = search.search(ready, "xgboost", names, "row_id")
     return trials
 
 
@@ -443,7 +431,7 @@ def adaboost(spark, sf_dir):
     df = clean(spark, sf_dir)
     fitted = prepare.fit(df, fixed.FEATURE_COLUMNS)
     ready = fitted.transform(df, keep=["row_id", "target"])
-    model = learners.AdaBoost(n_estimators=10).fit(ready, fitted.feature_names())
+    model = learners.AdaBoost().fit(ready, fitted.feature_names())
     return model.score(ready, "p").select("row_id", "target", "p")
 
 
@@ -453,32 +441,30 @@ def tree_attribution(spark, sf_dir):
     df = clean(spark, sf_dir)
     fitted = prepare.fit(df, fixed.FEATURE_COLUMNS)
     ready = fitted.transform(df, keep=["row_id", "target"])
-    model = learners.GradientBoosting(n_estimators=5, max_depth=3).fit(ready, fitted.feature_names())
+    model = learners.GradientBoosting().fit(ready, fitted.feature_names())
     return explain.tree_attribution(ready, model, ["row_id"])
 
 
 @query("nested_cv")
 def nested_cv(spark, sf_dir):
     """Per model: fold means and deviations of out-of-fold predictions."""
-    oof = nested.out_of_fold(
-        clean(spark, sf_dir), outer=2, inner=2, n_trials=2, spaces=_SMALL_SPACES, parallelism=8
-    )
-    return nested.summary(oof)
+    return nested.summary(nested.out_of_fold(clean(spark, sf_dir), parallelism=8))
 
 
 @query("external_compare")
 def external_compare(spark, sf_dir):
-    """Fit on the cohort in the common schema, score the external cohort."""
-    cohort = harmonize.from_cohort(raw_cohort(spark, sf_dir), keep=["row_id"])
+    """Per model: single-site CV, combined CV and the external cohort, in the common schema."""
+    raw = raw_cohort(spark, sf_dir)
+    single = harmonize.from_cohort(raw.where(F.col(fixed.SITE) == fixed.TRUSTED_SITE), keep=["row_id"])
+    combined = harmonize.from_cohort(raw, keep=["row_id"])
     outside = harmonize.from_external(raw_external(spark, sf_dir), keep=["row_id"])
-    predictions = external_plan.external_predictions(cohort, outside, params=_SMALL_PARAMS, parallelism=4)
-    return metrics.extended(predictions, ["model"])
+    return external_plan.run(single, combined, outside)
 
 
 @query("fitted_stability")
 def fitted_stability(spark, sf_dir):
     """Ranking stability of boosted models fitted on stratified folds."""
-    return stability_plan.evaluate(clean(spark, sf_dir), outer=2, params={"n_estimators": 5, "max_depth": 3})
+    return stability_plan.evaluate(clean(spark, sf_dir))
 
 
 @query("train_score")
@@ -486,5 +472,5 @@ def train_score(spark, sf_dir):
     """Train, persist, load again, then score every raw input."""
     folder = work_folder(spark, "models")
     df = clean(spark, sf_dir)
-    fitted = train.load_or_train(df, folder, params=_SMALL_PARAMS)
+    fitted = train.load_or_train(df, folder)
     return scoring.score(raw_cohort(spark, sf_dir), fitted).withColumn("report", scoring.report_text())
