@@ -6,7 +6,8 @@ of bits of such a code; vectors that agree in a key are candidates and are compa
 by their original values in double precision.
 
 The bits per key follow log2 of the number of vectors, so buckets stay small as the
-data grow, and the number of tables follows from the wanted chance of a miss.  A
+data grow, and the number of tables follows from the wanted chance of a miss at the
+angle that a pair at the threshold has once the common mean is taken off.  A
 bucket of many vectors is cut into tiles of ``tile`` vectors, and pairs of tiles are
 compared as matrix products.  A tile returns a count per vector and a spanning forest
 of its links, never the links; a pair that meets in several tables counts in the
@@ -36,9 +37,11 @@ class Coder:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """One integer per vector and table; tables differ in their leading number."""
-        on = (unit - self.mean) @ self.matrix > 0
-        on = on[:, :self.tables * self.bits].reshape(len(unit), self.tables, self.bits)
-        return (on @ (1 << np.arange(self.bits, dtype=np.int64))) | (np.arange(self.tables, dtype=np.int64) << self.bits)
+        out, step = np.empty((len(unit), self.tables), np.int64), max(1, 2_000_000 // max(self.tables * self.bits, 1))
+        for at in range(0, len(unit), step):  # the signs of a few rows at a time
+            on = (unit[at:at + step] - self.mean) @ self.matrix[:, :self.tables * self.bits] > 0
+            out[at:at + step] = on.reshape(len(on), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return out | (np.arange(self.tables, dtype=np.int64) << self.bits)
 
 
 def itq(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
@@ -54,18 +57,38 @@ def itq(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarra
     return axes @ rotation
 
 
-def plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
-    """(bits, tables) for ``n`` vectors: a pair at the threshold is missed with at most about ``miss``."""
-    same = 1 - math.acos(threshold) / math.pi
-    bits = int(min(max(round(math.log2(max(n, 2))) - 2, 6), 30))
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same ** bits)))
+def plan(n: int, threshold: float, miss: float, spread: np.ndarray | None = None) -> tuple[int, int]:
+    """(bits, tables) for ``n`` vectors: a pair at the threshold is missed with about ``miss``.
+
+    Keys are signs of centred vectors.  ``spread`` has the squared lengths that unit
+    vectors of the sample keep when the mean is taken off; the less is left, the wider
+    is the angle of a pair at the threshold.  Keys get shorter then, and tables more.
+    Where such a pair is no closer than any two vectors, all are compared.
+    """
+    left = np.maximum(np.ones(1) if spread is None else spread, 1e-12)
+    same = 1 - np.arccos(np.clip(1 - (1 - threshold) / left, 0, 1)) / math.pi
+    if same.mean() <= 0.5 + 1e-9:
+        return 0, 1
+    worth = lambda p: -math.log(p) / (math.log(2) + math.log(p))  # noqa: E731  (bucket size at which longer keys stop paying)
+    wider = round(math.log2(max(1.0, worth(same.mean()) / worth(1 - math.acos(threshold) / math.pi))))
+    bits = int(max(min(max(round(math.log2(max(n, 2))) - 2, 6), 30) - wider, 0))
+    if not bits:
+        return 0, 1
+    missed = np.log1p(-np.minimum(same ** bits, 1 - 1e-12))  # of one table, per vector
+    low, high = 0, 1
+    while np.exp(missed * high).mean() > miss:
+        low, high = high, 2 * high
+    while high - low > 1:
+        tables = (low + high) // 2
+        low, high = (low, tables) if np.exp(missed * tables).mean() <= miss else (tables, high)
+    return bits, high
 
 
 def fit(sample: np.ndarray, n: int, threshold: float, miss: float, seed: int = 7) -> Coder:
-    bits, tables = plan(n, threshold, miss)
     mean = sample.mean(axis=0)
+    bits, tables = plan(n, threshold, miss, ((sample - mean) ** 2).sum(axis=1))
     parts, have = [], 0
-    while have < bits * tables:
+    while have < max(bits * tables, 1):
         parts.append(itq(sample - mean, sample.shape[1], seed + len(parts)))
         have += parts[-1].shape[1]
     return Coder(mean, np.concatenate(parts, axis=1), tables, bits)
@@ -157,8 +180,9 @@ def linked(frame: DataFrame, *, threshold: float = 0.95, miss: float = 0.01, sam
                 ka, kb = coder.keys(a[2]), coder.keys(b[2])
                 first = np.empty(len(x), bool)  # is this the first table in which the pair meets?
                 table = key >> coder.bits
-                for at in range(0, len(x), 50_000):
-                    s = slice(at, at + 50_000)
+                step = max(1, min(50_000, 2_000_000 // coder.tables))
+                for at in range(0, len(x), step):
+                    s = slice(at, at + step)
                     first[s] = ~(ka[x[s], :table] == kb[y[s], :table]).any(axis=1)
                 x, y = x[first], y[first]
                 for ids, of, n in ((a[0], x, b[1][y]), (b[0], y, a[1][x])):

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from riskweave.llm import embedding_dedup as E
 
@@ -65,3 +66,27 @@ def test_bits_follow_the_data_and_codes_are_balanced():
     sample = np.random.default_rng(0).standard_normal((2000, 16))
     on = (sample - sample.mean(axis=0)) @ E.itq(sample - sample.mean(axis=0), 16, 1) > 0
     assert abs(on.mean(axis=0) - 0.5).max() < 0.1
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_recall_holds_for_vectors_with_a_common_direction(common):
+    """Pairs of cosine 0.95 to 0.96 around a mean of squared length ``common``; keys as for 2 ** 16 vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 32)) * np.sqrt((1 - common) / 32)
+    x[:, 0] += np.sqrt(common)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side[:, 0] *= np.sqrt(1 - common)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.95, 0.96, (2000, 1))
+    y = cosine * x + np.sqrt(1 - cosine ** 2) * side
+    coder = E.fit(np.concatenate([x, y]), 1 << 16, 0.95, 0.01)
+    assert (coder.keys(x) == coder.keys(y)).any(axis=1).mean() >= 0.95
+
+
+def test_vectors_that_are_all_close_are_all_compared(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(v)) for v in np.eye(16)[0] + 0.05 * rng.standard_normal(16)]) for i in range(60)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.linked(spark.createDataFrame(rows, PLAIN), tile=8).collect()}
+    assert got == brute(rows, 0.95)
