@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -165,9 +166,9 @@ def best_fit(counts: dict[int, int], limit: int) -> list[Filling]:
     return out
 
 
-def take(left: dict[int, int], items) -> Filling:
-    """Remove as many copies of a filling as there are pieces for."""
-    times = min(left[s] // k for s, k in items)
+def take(left: dict[int, int], items, share: int = 1) -> Filling:
+    """Remove as many copies of a filling as there are pieces for, or that number by ``share``."""
+    times = max(1, min(left[s] // k for s, k in items) // share)
     for s, k in items:
         left[s] -= k * times
         if not left[s]:
@@ -175,46 +176,48 @@ def take(left: dict[int, int], items) -> Filling:
     return Filling(times, tuple(items))
 
 
-def completions(left: dict[int, int], limit: int, width: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """(waste, filling) around the largest piece, least waste first: at most ``width`` undominated ones.
+def completions(left: dict[int, int], limit: int, width: int, each: int = 3) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(waste, filling) around the largest piece, least waste first: undominated ones of at most ``width`` sums.
 
     ``reach[i]`` has bit s set if lengths up to the i-th can add up to s.  A sum is
-    taken apart from its largest length down, so what could be swapped for fewer or
-    larger pieces of the same sum is not listed.
+    taken apart from its largest length down, in up to ``each`` ways; the first has
+    the largest pieces.
     """
     top = max(left)
     gap = limit - top
     sizes = sorted(s for s in left if s <= gap)
+    spare = {s: left[s] - (s == top) for s in sizes}
     reach, mask = [1], (1 << (gap + 1)) - 1
     for s in sizes:
-        bits, copies, step = reach[-1], min(left[s] - (s == top), gap // s), 1
+        bits, copies, step = reach[-1], min(spare[s], gap // s), 1
         while copies > 0:
             step = min(step, copies)
             bits |= (bits << (s * step)) & mask
             copies -= step
             step *= 2
         reach.append(bits)
-    out = []
+
+    def ways(i, rest, items):
+        if not rest:
+            yield items
+        for j in range(i - 1, -1, -1):
+            s = sizes[j]
+            if not rest or not reach[j + 1] >> rest & 1:
+                return
+            for copies in range(min(spare[s], rest // s), 0, -1):
+                if reach[j] >> (rest - copies * s) & 1:
+                    yield from ways(j, rest - copies * s, {**items, s: items.get(s, 0) + copies})
+
+    # a length that no filling can use up can be added wherever it fits
+    endless = next((s for s in sizes if spare[s] > gap // s), limit + 1)
+    out, sums = [], 0
     for total in range(gap, -1, -1):
-        if not reach[-1] >> total & 1:
-            continue
-        rest, items = total, {top: 1}
-        for i in range(len(sizes) - 1, -1, -1):
-            s = sizes[i]
-            if rest == 0:
-                break
-            if s > rest:
-                continue
-            for copies in range(min(left[s] - (s == top), rest // s), -1, -1):
-                if reach[i] >> (rest - copies * s) & 1:
-                    break
-            if copies:
-                items[s] = items.get(s, 0) + copies
-                rest -= copies * s
-        if not dominated(items, left, top, limit):
-            out.append((gap - total, tuple(sorted(items.items(), reverse=True))))
-            if len(out) >= width:
-                break
+        if gap - total >= endless or sums >= width:
+            break
+        if reach[-1] >> total & 1:
+            some = [w for w in islice(ways(len(sizes), total, {top: 1}), each) if not dominated(w, left, top, limit)]
+            out += [(gap - total, tuple(sorted(w.items(), reverse=True))) for w in some]
+            sums += bool(some)
     return out
 
 
@@ -230,45 +233,60 @@ def dominated(items: dict[int, int], left: dict[int, int], top: int, limit: int)
     return any(0 < y - x <= room for x in inside for y in spare)
 
 
-def complete(counts: dict[int, int], limit: int, *, width: int = 3, nodes: int = 1_500) -> list[Filling]:
+def complete(counts: dict[int, int], limit: int, *, width: int = 3, nodes: int = 1_500, restarts: int = 8) -> list[Filling]:
     """Bin completion: the largest piece left is filled up first, in order of waste.
 
     Depth-first; a branch ends when the waste so far leaves no way to beat the best
     packing known, which at first is best-fit decreasing.  A filling is used as
-    often as the counts allow, so a path has a bounded number of steps whatever
-    the corpus.  ``nodes`` bounds the search, not the result: the incumbent always
+    often as the counts allow, or half as often, so a path has a bounded number of
+    steps whatever the corpus.  The first path costs nothing, ``nodes`` bounds what
+    is looked at by going back; then come ``restarts`` paths from the open choices
+    nearest the root.  Both bound the search, not the result: the incumbent always
     packs everything.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
     total, bound = sum(k * n for k, n in counts.items()), lower_bound(counts, limit)
-    best, size = None, 0
-    plain = best_fit(counts, limit)
-    best, size = plain, sum(f.times for f in plain)
-    visited = 0
+    best = best_fit(counts, limit)
+    size = sum(f.times for f in best)
+    visited, first = 0, True
     stack = [(dict(counts), [], 0, None)]
-    while stack and size > bound and visited < nodes:
+    while stack and size > bound:
+        if visited >= nodes:
+            if not restarts:
+                break
+            restarts -= 1
+            visited, first = nodes - 1, True
+            stack.append(stack.pop(0))
         left, path, waste, choices = stack.pop()
         if not left:
             used = sum(f.times for f in path)
             if used < size:
                 best, size = path, used
+            first = False
+            visited += 1
             continue
         if choices is None:
-            visited += 1
-            choices = completions(left, limit, width)
+            visited += not first
+            choices = [(lost, items, 1) for lost, items in completions(left, limit, width)]
+            if min(left[s] // k for s, k in choices[0][1]) > 1:
+                choices.append((*choices[0][:2], 2))
         allowed = (size - 1) * limit - total
-        while choices:
-            (lost, items), choices = choices[0], choices[1:]
+        deeper = False
+        while choices and not deeper:
+            (lost, items, share), choices = choices[0], choices[1:]
             rest = dict(left)
-            filling = take(rest, list(items))
+            filling = take(rest, items, share)
             wasted = waste + lost * filling.times
             if wasted <= allowed:
                 if choices:
                     stack.append((left, path, waste, choices))
                 stack.append((rest, [*path, filling], wasted, None))
-                break
+                deeper = True
+        if not deeper:
+            visited += first
+            first = False
     return best
 
 

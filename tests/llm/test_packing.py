@@ -90,3 +90,17 @@ def test_search_is_optimal_on_small_cases():
         sizes = sorted((rng.randint(1, 20) for _ in range(8)), reverse=True)
         counts = {s: sizes.count(s) for s in sizes}
         assert sum(f.times for f in P.complete(counts, 20)) == best(sizes, [])
+
+
+def test_a_first_path_longer_than_the_budget_is_finished():
+    """Best-fit needs one sequence more than the bound; the path that finds it has 22 steps."""
+    rng = random.Random(0)
+    sizes = [rng.randint(1, 60) for _ in range(80)]
+    counts = {s: sizes.count(s) for s in sizes}
+    assert sum(f.times for f in P.best_fit(counts, 100)) == 29
+    assert sum(f.times for f in P.complete(counts, 100, nodes=1)) == P.lower_bound(counts, 100) == 28
+
+
+def test_a_sum_is_taken_apart_in_several_ways():
+    out = P.completions({60: 1, 40: 1, 30: 1, 10: 1, 25: 1, 15: 1}, 100, 1)
+    assert [w for w, _ in out] == [0, 0, 0] and len({f for _, f in out}) == 3 and all(sum(s * k for s, k in f) == 100 for _, f in out)
