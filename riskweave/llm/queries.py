@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import chat, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
+from riskweave.llm import chat, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc, whitening
 from riskweave.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = staged(packing.pieces(table(spark, sf_dir, "documents")), "packing")
     packed = packing.pack(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), vector="embedding", components=16, weights="one")
