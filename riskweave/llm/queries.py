@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.llm import alignment, chat, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc, whitening
+from riskweave.llm import alignment, chat, embedding_dedup, fingerprint, minhash, packing, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc, whitening
 from riskweave.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 @query("op12_tokenizer_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
