@@ -31,11 +31,15 @@ RUNGS, SAMPLE, SPAN = 32, 32, 32
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
+def partly(x: np.ndarray) -> np.ndarray:
+    """A number below 2^32 that is x mod 2^31 - 1, of numbers below 2^62."""
+    return (x & P) + (x >> np.uint64(31))
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
     """x mod 2^31 - 1, of numbers below 2^62."""
-    x = (x & P) + (x >> np.uint64(31))
-    x = (x & P) + (x >> np.uint64(31))
-    return np.where(x >= P, x - P, x)
+    x = partly(partly(x))
+    return np.minimum(x, x - P)         # below zero wraps around to a large number
 
 
 def powers() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -60,20 +64,31 @@ def code_points(text: str) -> np.ndarray:
 class Prefixes:
     """The modular prefix arrays of a text: span hashes, equality of spans, longest common extensions."""
 
-    def __init__(self, text: str):
-        codes = code_points(text)
-        self.n = len(codes)
+    def __init__(self, text: str, start: Prefixes | None = None, kept: int = 0):
+        """``start`` and ``kept``: the first ``kept`` characters are those of that text, whose arrays are gone on from."""
+        self.n = len(text)
         self.sums = []
-        for power, _ in powers():
-            out, carry = np.zeros(self.n + 1, np.uint32), 0
-            for at in range(0, self.n, BLOCK):
+        codes = code_points(text[kept:])
+        for k, (power, _) in enumerate(powers()):
+            out = np.zeros(self.n + 1, np.uint32)
+            if kept:
+                out[:kept + 1] = start.sums[k][:kept + 1]
+            for at in range(0, len(codes), BLOCK):
                 some = codes[at:at + BLOCK].astype(np.uint64)
-                local = reduced(np.cumsum(reduced(some * power[:len(some)]), dtype=np.uint64))   # sums below 2^49
-                shift = np.uint64(pow(int(power[1]), at, int(P)))
-                block = reduced(local * shift + np.uint64(carry))
-                out[at + 1:at + 1 + len(some)] = block
-                carry = int(block[-1])
+                local = np.cumsum(partly(some * power[:len(some)]), dtype=np.uint64)       # below 2^50
+                if at + kept:
+                    local = reduced(local) * np.uint64(pow(int(power[1]), at + kept, int(P))) + np.uint64(int(out[at + kept]))
+                out[at + kept + 1:at + kept + 1 + len(some)] = reduced(local)
             self.sums.append(out)
+        known = start.windows[:max(0, kept - SPAN + 1)] if kept else np.empty(0, "<u4")
+        self.windows = np.concatenate([known, *self._windows(len(known))])
+
+    def _windows(self, at: int):
+        """Hashes of all spans of SPAN characters from the one at ``at`` on; a shorter text is one span."""
+        end = max(1, self.n - SPAN + 1) if self.n else 0
+        for first in range(at, end, BLOCK):
+            start = np.arange(first, min(first + BLOCK, end))
+            yield folded(self.spans(start, np.minimum(start + SPAN, self.n)))
 
     def spans(self, start, stop) -> np.ndarray:
         """62-bit hashes of text[start:stop], whatever its place; arrays or single numbers."""
@@ -132,17 +147,10 @@ def smallest(values: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(text: str, made: Prefixes | None = None) -> str:
     """Length, whole hash, rungs from the front and from the back, sample of spans; base64."""
     p = made or Prefixes(text)
-    n = p.n
-    rungs = np.arange(step_of(n), n + 1, step_of(n))
-    whole = int(p.spans(0, n)[0])
-    sample = []
-    for at in range(0, max(1, n - SPAN + 1), BLOCK) if n else ():
-        start = np.arange(at, min(at + BLOCK, max(1, n - SPAN + 1)))
-        sample.append(smallest(folded(p.spans(start, np.minimum(start + SPAN, n))), SAMPLE))
-    spans = np.unique(np.concatenate(sample))[:SAMPLE] if sample else np.empty(0, "<u4")
-    front, back = folded(p.spans(np.zeros(len(rungs), np.int64), rungs)), folded(p.spans(n - rungs, np.full(len(rungs), n)))
-    body = b"".join(x.astype("<u4").tobytes() for x in (front, back, spans))
-    return base64.b64encode(struct.pack("<QQ", n, whole) + body).decode()
+    n, step = p.n, step_of(p.n)
+    rungs = np.arange(step, n + 1, step)
+    keys = p.spans(np.concatenate([np.zeros(len(rungs) + 1, np.int64), n - rungs]), np.concatenate([[n], rungs, np.full(len(rungs), n)]))
+    return base64.b64encode(struct.pack("<QQ", n, int(keys[0])) + folded(keys[1:]).tobytes() + smallest(p.windows, SAMPLE).tobytes()).decode()
 
 
 def opened(fp: str) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,9 +181,9 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     ends = shared_rungs(front, front2, step_of(n), step_of(m)) + shared_rungs(back, back2, step_of(n), step_of(m))
     by_ends = 2 * min(ends, n, m) / (n + m)
-    union = np.union1d(spans, spans2)[:SAMPLE]
-    both = np.isin(union, spans) & np.isin(union, spans2)
-    jaccard = both.sum() / len(union)
+    x, y = set(spans.tolist()), set(spans2.tolist())
+    union = sorted(x | y)[:SAMPLE]
+    jaccard = sum(v in x and v in y for v in union) / len(union)
     return float(min(max(by_ends, 2 * jaccard / (1 + jaccard)), 1 - 1 / (n + m)))
 
 
@@ -242,7 +250,7 @@ def ranges(docs: DataFrame, bucket_rows: int, most: int = 16_384) -> tuple[DataF
     return docs.withColumn("bucket", main.cast("long") * (1 << 20) + fine.cast("long")).drop("v", "place"), len(points) + 2 + nameless + sum(hot.values())
 
 
-def edits(docs: DataFrame, *, bucket_rows: int = 20_000) -> DataFrame:
+def edits(docs: DataFrame, *, bucket_rows: int = 1_000) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     common_chars, common_next.
 
@@ -298,7 +306,7 @@ def _walk(batches):
                 old_id, old, old_made, old_print = held
                 k = len(old) // 3
                 edited = old[:len(old) - k] + text[:k]
-                edited_made = Prefixes(edited) if k else old_made
+                edited_made = Prefixes(edited, old_made, len(old) - k) if k else old_made
                 edited_print = fingerprint(edited, edited_made) if k else old_print
                 out.append((old_id, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), old_print, edited_print,
                             likeness(old_print, edited_print), likeness(old_print, now[3]),
