@@ -49,21 +49,31 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(to_byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
-def encoder(path: str, pattern: str):
-    """texts -> their ids as little-endian uint32 bytes; special tokens' strings are ordinary text.
+def special_tokens(path: str) -> dict[str, int]:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", []) if t.get("special")}
+
+
+def encoder(path: str, pattern: str, special: dict[str, int] | None = None):
+    """texts -> their ids as little-endian uint32 bytes; strings of ``special`` are their token, other ones are text.
 
     Texts without runs of white space need no look-ahead in the pattern, which makes
     matching much faster.  They are encoded together, parted by a control character
-    that is in no token but its own, so that no token crosses it.
+    that is in no token but its own, so that no token crosses it.  The pattern takes that
+    character for punctuation, so texts that begin with an apostrophe, where it would hide
+    a contraction, are encoded alone, as are those with a special string.
     """
     import tiktoken
 
-    ranks = byte_ranks(path)
-    exact = tiktoken.Encoding("exact", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks, special = byte_ranks(path), special or {}
+    exact = tiktoken.Encoding("exact", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
     crowded = {b for token in ranks if len(token) > 1 for b in token}
     part = next(chr(b) for b in range(0x1F) if b not in crowded and not chr(b).isspace())
-    part_id, odd = ranks[part.encode()], re.compile(rf"\s\s|\s\Z|\A\s|{re.escape(part)}")
+    part_id = ranks[part.encode()]
+    odd = re.compile("|".join([r"\s\s|\s\Z|\A\s|\A'", *map(re.escape, [part, *special])]))
     raw = lambda ids: array("I", ids).tobytes()
 
     def run(texts: list[str]) -> list[bytes]:
@@ -74,7 +84,7 @@ def encoder(path: str, pattern: str):
         out = []
         for t, x in zip(texts, alone):
             if x:
-                out.append(raw(exact.encode_ordinary(t)))
+                out.append(raw(exact.encode(t, allowed_special="all", disallowed_special=())))
             else:
                 start, end = (ends[at - 1] + 1 if at else 0), ends[at]
                 out.append(joined[4 * start:4 * end])
@@ -95,7 +105,8 @@ def pieces(docs: DataFrame, path: str | None = None, *, limit: int = LIMIT, end_
            pattern: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), task, nth.
 
-    A NULL or empty text is a document of the end id alone.  Rows that repeat a
+    Strings of special tokens inside a text are those tokens, as the tokenizers library reads
+    the file.  A NULL or empty text is a document of the end id alone.  Rows that repeat a
     doc_id are documents of their own.  ``task`` and ``nth`` number the pieces of a
     length inside the task that made them.  Columns other than doc_id and text are
     not read.
@@ -109,7 +120,7 @@ def pieces(docs: DataFrame, path: str | None = None, *, limit: int = LIMIT, end_
     def tokenise(batches):
         from pyspark import TaskContext
 
-        task, seen, encode, end = TaskContext.get().partitionId(), {}, encoder(path, pattern), np.array([end_id], "<u4").tobytes()
+        task, seen, encode, end = TaskContext.get().partitionId(), {}, encoder(path, pattern, special_tokens(path)), np.array([end_id], "<u4").tobytes()
         rows, held = [], 0
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)

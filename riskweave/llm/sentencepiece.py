@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-The distinct words of the corpus are exploded into their substrings of bounded
-length and joined to the piece table; that gives the edges of a lattice per word,
-grouped by word where they are made, without moving them.  A higher-order fold over
-a word's edges picks its pieces:
+Words are cut where no piece holds the two characters in a row; such parts ("atoms")
+can be encoded apart.  The distinct atoms of a chunk of documents are exploded into their
+substrings of bounded length and joined to the piece table; that gives the edges of a
+lattice, grouped by atom.  A higher-order fold over an atom's edges picks its pieces,
+and leaves them as one long whose set bits are the boundaries:
 
 * unigram models: Viterbi, edges by their end, the best score at each position;
 * BPE models: edges by score, each applied if it joins exactly two pieces that stand
   there by then.  Viterbi would maximise the sum of scores, which is not what a BPE
   model encodes.
 
-Texts get their ids from the words of their own chunk of documents, so that no
-vocabulary is held whole anywhere.  A chunk has about ``chunk_bytes`` of text.
+A chunk has about ``chunk_bytes`` of text.  Its texts travel compressed and are put
+together from its own atoms, so no vocabulary is held whole anywhere.  Everything
+between the exchange of a chunk's atoms and the assembly of its texts stays in place.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweave.llm.common import as_batch, let, staged
+from riskweave.llm.common import Cache, as_batch, let, staged
 
 MARK = "\u2581"
 # no piece holds a line feed or has a mark after another character
 WORD = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+WIDTH = 61            # characters of an atom whose boundaries fit a long
 
 
 @dataclass
@@ -52,51 +55,59 @@ class Pieces:
                  else sp.id_to_piece(i).replace(MARK, " ").encode() for i in ids]
         return cls(rows, byte[0] if byte else -1, sp.unk_id(), texts)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
 
 def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, edges): edges are structs (score, start, stop, id) of the pieces in a word, positions in code points from 0.
+def follows(pieces: Pieces) -> set[str]:
+    """Pairs of characters that stand side by side in a piece; elsewhere words can be cut."""
+    return {p[i:i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1)}
+
+
+def cut(word: str, inside: set[str]) -> list[str]:
+    at = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in inside), len(word)]
+    return [word[i:j] for i, j in zip(at, at[1:])]
+
+
+def lattice(atoms: DataFrame, pieces: Pieces, shortest: int = 1) -> DataFrame:
+    """``atoms`` (with a column atom of at least ``shortest`` characters) by every place of a piece in it: start, stop,
+    score, and rank (equal scores have equal ranks, the best is 0).
 
     The piece table is broadcast; it is as large as the vocabulary, whatever the corpus.
     """
     longest = max(len(p) for p, _, _ in pieces.rows)
-    placed = words.repartition("word").select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    cut = placed.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.length("word")))).alias("stop"))
-    found = cut.join(F.broadcast(pieces.table(words.sparkSession)), F.substring("word", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("piece"))
-    return found.groupBy("word").agg(F.collect_list(F.struct("score", "start", "stop", "id")).alias("edges"))
+    ranks = {v: k for k, v in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
+    known = atoms.sparkSession.createDataFrame([(p, ranks[s], s) for p, _, s in pieces.rows if len(p) >= shortest], "piece string, rank long, score double")
+    placed = atoms.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("atom") - shortest)))
+    spans = placed.withColumn("stop", F.explode(F.sequence(F.col("start") + shortest, F.least(F.col("start") + longest, F.length("atom")))))
+    return spans.join(F.broadcast(known), F.substring("atom", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("piece"))
 
 
-def put(array: Column, at: Column, value: Column) -> Column:
-    return F.transform(array, lambda x, i: F.when(i == at, value).otherwise(x))
+def bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def merged(word: Column, edges: Column) -> Column:
-    """BPE: array of (start, stop, id), id NULL for characters that are no piece."""
-    def folded(single: Column) -> Column:
-        n = F.length(word)
-        places = F.sequence(F.lit(0), n - 1)
-        start = F.struct(F.transform(places, lambda i: i + 1).alias("stop"), F.transform(places, lambda i: F.element_at(single, i)).alias("id"))
-        longer = F.sort_array(F.transform(F.filter(edges, lambda e: e["stop"] - e["start"] > 1), lambda e: F.struct(
-            (-e["score"]).alias("rank"), e["start"].alias("start"), e["stop"].alias("stop"), e["id"].alias("id"))))
+def boundaries(atoms: DataFrame, pieces: Pieces) -> DataFrame:
+    """BPE: (the columns of ``atoms``, mask) of atoms of 2 to WIDTH characters in which pieces meet; bit i of the mask is
+    set if a piece starts or ends at i.  An edge is one long (rank, start, stop), so sorting is by rank, then from the left."""
+    keys = atoms.columns
+    edge = F.shiftleft("rank", 12).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 6)).bitwiseOR(F.col("stop").cast("long"))
+    grouped = lattice(atoms, pieces, 2).select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
+
+    def step(state: Column, e: Column) -> Column:
+        start, stop = F.shiftright(e, 6).bitwiseAND(F.lit(63)).cast("int"), e.bitwiseAND(F.lit(63)).cast("int")
+        ends = bit(start).bitwiseOR(bit(stop))
+        middle = state.bitwiseAND(bit(stop) - bit(start + 1))
+        joins = (state.bitwiseAND(ends) == ends) & (middle != 0) & (middle.bitwiseAND(middle - 1) == 0)
+        return F.when(joins, state.bitwiseXOR(middle)).otherwise(state)
 
-        def step(state: Column, e: Column) -> Column:
-            middle = F.get(state["stop"], e["start"])
-            joins = (middle > 0) & (middle < e["stop"]) & (F.get(state["stop"], middle) == e["stop"])
-            return F.when(joins, F.struct(
-                F.transform(state["stop"], lambda x, i: F.when(i == e["start"], e["stop"]).when(i == middle, F.lit(0)).otherwise(x)).alias("stop"),
-                put(state["id"], e["start"], e["id"]).alias("id"))).otherwise(state)
+    return grouped.select(*keys, F.aggregate(F.sort_array("edges"), bit(F.length("atom") + 1) - 1, step).alias("mask"))
 
-        return let(F.aggregate(longer, start, step), lambda s: F.filter(
-            F.transform(s["stop"], lambda x, i: F.struct(i.alias("start"), x.alias("stop"), F.get(s["id"], i).alias("id"))), lambda p: p["stop"] > 0))
 
-    ones = F.filter(edges, lambda e: e["stop"] - e["start"] == 1)
-    return let(F.map_from_entries(F.transform(ones, lambda e: F.struct(e["start"], e["id"]))), folded)
+def put(array: Column, at: Column, value: Column) -> Column:
+    return F.transform(array, lambda x, i: F.when(i == at, value).otherwise(x))
 
 
 def viterbi(word: Column, edges: Column, unknown_score: float) -> Column:
@@ -125,76 +136,149 @@ def viterbi(word: Column, edges: Column, unknown_score: float) -> Column:
     return let(F.transform(F.filter(edges, lambda e: e["stop"] - e["start"] == 1), lambda e: e["start"]), folded)
 
 
-def ids_of(word: Column, path: Column, byte0: int, unknown: int) -> Column:
-    """ids of a path; a character that is no piece becomes its bytes (or the unknown id)."""
-    def by_bytes(p: Column) -> Column:
-        digits = F.hex(F.encode(F.substring(word, p["start"] + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), lambda k: (F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + byte0))
-    other = by_bytes if byte0 >= 0 else lambda p: F.array(F.lit(unknown))
-    return F.flatten(F.transform(path, lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(other(p))))
-
-
-def encode_words(words: DataFrame, pieces: Pieces, model: str = "bpe") -> DataFrame:
-    """(word, ids) of distinct non-empty words in marked form."""
-    graph = lattice(words, pieces)
-    everything = words.join(graph, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<score:double,start:int,stop:int,id:int>>")))
-    lowest = min(s for _, _, s in pieces.rows) - 10.0
-    path = merged(F.col("word"), F.col("edges")) if model == "bpe" else viterbi(F.col("word"), F.col("edges"), lowest)
-    return everything.select("word", path.alias("path")).select("word", ids_of(F.col("word"), F.col("path"), pieces.byte0, pieces.unknown).alias("ids"))
-
-
-def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 24 << 20) -> DataFrame:
+def best_boundaries(atoms: DataFrame, pieces: Pieces) -> DataFrame:
+    """Unigram: (the columns of ``atoms``, mask) of atoms of up to WIDTH characters that hold a piece, by the Viterbi fold."""
+    keys = atoms.columns
+    edges = lattice(atoms, pieces).select(*keys, F.struct("score", "start", "stop", F.lit(0).alias("id")).alias("edge")).groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
+    path = viterbi(F.col("atom"), F.col("edges"), lowest(pieces))
+    return edges.select(*keys, F.aggregate(path, F.lit(1).cast("long"), lambda mask, p: mask.bitwiseOR(bit(p["stop"]))).alias("mask"))
+
+
+def lowest(pieces: Pieces) -> float:
+    return min(s for _, _, s in pieces.rows) - 10.0
+
+
+class Assembler:
+    """Ids of words from the boundaries of their atoms; lives in one task."""
+
+    def __init__(self, pieces: Pieces, inside: set[str], model: str):
+        self.ids = {p: np.array([i], "<i4").tobytes() for p, i, _ in pieces.rows}
+        self.scores = {p: s for p, _, s in pieces.rows}
+        self.longest = max(map(len, self.scores))
+        self.lowest, self.byte0, self.unknown, self.inside, self.model = lowest(pieces), pieces.byte0, pieces.unknown, inside, model
+
+    def piece(self, text: str) -> bytes:
+        """The id of a piece; a character that is none becomes its bytes (or the unknown id)."""
+        known = self.ids.get(text)
+        if known is not None:
+            return known
+        return np.array([b + self.byte0 for b in text.encode()] if self.byte0 >= 0 else [self.unknown], "<i4").tobytes()
+
+    def atom(self, atom: str, masks: dict[str, int]) -> bytes:
+        if len(atom) > WIDTH:
+            cuts = self.long_merge(atom) if self.model == "bpe" else self.long_path(atom)
+        else:
+            mask = masks.get(atom, -1)
+            cuts = [i for i in range(len(atom) + 1) if mask >> i & 1]
+        return b"".join([self.piece(atom[i:j]) for i, j in zip(cuts, cuts[1:])])
+
+    def long_merge(self, atom: str) -> list[int]:
+        """BPE of an atom whose boundaries do not fit a long: a heap of joinable neighbours, n log n."""
+        import heapq
+
+        n = len(atom)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i):
+            if i >= 0 and after[i] < n:
+                score = self.scores.get(atom[i:after[after[i]]])
+                if score is not None:
+                    heapq.heappush(heap, (-score, i, after[after[i]]))
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = after[i] if alive[i] else n
+            if j >= n or after[j] != stop:
+                continue
+            alive[j], after[i] = False, stop
+            if stop < n:
+                before[stop] = i
+            offer(before[i])
+            offer(i)
+        return [*(i for i in range(n) if alive[i]), n]
+
+    def long_path(self, atom: str) -> list[int]:
+        """Viterbi of such an atom; a position looks back by the length of a piece."""
+        n = len(atom)
+        best, came = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                score = self.scores.get(atom[i:j], self.lowest if j - i == 1 else None)
+                if score is not None and best[i] + score > best[j]:
+                    best[j], came[j] = best[i] + score, i
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(came[cuts[-1]])
+        return cuts[::-1]
+
+
+def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 4 << 20) -> DataFrame:
     """Per row: doc_id, text, ids (little-endian int32).  NULL and empty texts have no ids; repeated rows are encoded each.
 
-    Columns other than doc_id and text are not read.
+    A text is never divided: one beyond ``chunk_bytes`` is a chunk of its own.  Columns
+    other than doc_id and text are not read.
     """
     import re
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 100)), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
-    pattern = re.compile(WORD)
+    pattern, inside = re.compile(WORD), follows(pieces)
+    schema = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("atoms", pa.list_(pa.string()))])
+    texts_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
-    def distinct(batches):
-        seen: dict[int, set] = {}
-        held = 0
+    def chunks(batches):
+        from pyspark import TaskContext
 
-        def out():
-            for chunk, words in seen.items():
-                words = list(words)
-                for at in range(0, len(words), 50_000):
-                    some = words[at:at + 50_000]
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(some, pa.string()), "chunk": pa.array([chunk] * len(some), pa.int32())})
+        chunk, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
-        for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                words = seen.setdefault(chunk, set())
-                held -= len(words)
+        def out():
+            words = set()
+            for _, text in rows:
                 words.update(pattern.findall(marked(text or "")))
-                held += len(words)
-            if held > 1_000_000:
-                yield from out()
-                seen, held = {}, 0
-        yield from out()
+            atoms = {a for w in words for a in cut(w, inside) if 1 < len(a) <= WIDTH or model != "bpe" and len(a) == 1}
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts_schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(as_batch(rows, texts_schema))
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                                               pa.array([sorted(atoms)], pa.list_(pa.string()))], schema=schema)
 
-    words = staged(rows.mapInArrow(distinct, "word string, chunk int").groupBy("word").agg(F.collect_set("chunk").alias("chunks")), "words")
-    known = encode_words(words.select("word"), pieces, model).join(words, "word").select(F.explode("chunks").alias("chunk"), "word", "ids")
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = len((row[1] or "").encode())
+                if rows and size + more > chunk_bytes:
+                    yield out()
+                    chunk, rows, size = chunk + 1, [], 0
+                rows.append(row)
+                size += more
+        if rows:
+            yield out()
+
+    made = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(chunks, "chunk long, texts binary, atoms array<string>"), "chunks")
+    atoms = made.select("chunk", "atoms").repartition("chunk").select("chunk", F.explode("atoms").alias("atom"))
+    known = boundaries(atoms, pieces) if model == "bpe" else best_boundaries(atoms, pieces)
+    model_pieces = Pieces(pieces.rows, pieces.byte0, pieces.unknown, [])
 
     def assembled(texts: pa.Table, found: pa.Table) -> pa.Table:
-        lists = found.column("ids").combine_chunks() if found.num_rows else None
-        ids = {}
-        if lists is not None:
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), lists.offsets.to_pylist()
-            ids = {w: flat[4 * a:4 * b] for w, a, b in zip(found.column("word").to_pylist(), offsets, offsets[1:])}
-        coded = [b"".join([ids[w] for w in pattern.findall(marked(t or ""))]) for t in texts.column("text").to_pylist()]
-        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": pa.array(coded, pa.binary())})
+        masks = dict(zip(found.column("atom").to_pylist(), found.column("mask").to_pylist()))
+        worker = Assembler(model_pieces, inside, model)
+        atoms = Cache(lambda a: worker.atom(a, masks))
+        words = Cache(lambda w: b"".join([atoms[a] for a in cut(w, inside)]))
+        out = []
+        for blob in texts.column("texts").to_pylist():
+            for batch in pa.ipc.open_stream(blob):
+                coded = [b"".join([words[w] for w in pattern.findall(marked(t or ""))]) for t in batch.column(1).to_pylist()]
+                out.append(pa.table({"doc_id": batch.column(0), "text": batch.column(1), "ids": pa.array(coded, pa.binary())}))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
 
-    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(assembled, "doc_id long, text string, ids binary")
+    return made.select(F.col("chunk").alias("of"), "texts").groupBy("of").cogroup(known.groupBy("chunk")).applyInArrow(assembled, "doc_id long, text string, ids binary")
 
 
 def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``decoded`` to a table with doc_id, text and ids: pieces' texts, bytes joined, the first space dropped."""
+    """Adds ``decoded`` to a table with doc_id, text and ids: pieces' texts, bytes joined, the first space dropped.
+
+    No ids decode to an empty text; bytes that are no UTF-8 become U+FFFD; repeated rows and
+    NULL doc_ids are decoded each.  Other columns are dropped.
+    """
     texts = pieces.texts
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("decoded", pa.string())])
 

@@ -16,7 +16,6 @@ def check(rows, docs, limit=P.LIMIT):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     where, of = {}, {}
     for r in rows:
         where.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -47,6 +46,22 @@ def test_documents(spark):
     assert check(rows, docs) <= -(-total // P.LIMIT) + 2
 
 
+def test_ids_of_short_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(PATH), random.Random(9)
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "tis", "a", "B", "é", "語", " ", "  ", "\n", "\t", ".", "!", "12", "<|endoftext|>", "<|", "\x00", "\x01", "\u3000", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(6))) for _ in range(20_000)] + ["'tis the season", "it's", "<|endoftext|>'s"]
+    run = P.encoder(PATH, public_tokenizers.PATTERN, P.special_tokens(PATH))
+    for at in range(0, len(texts), 200):
+        for text, ids in zip(texts[at:at + 200], run(texts[at:at + 200])):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    lib.encode_special_tokens = True
+    plain = P.encoder(PATH, public_tokenizers.PATTERN)
+    for text, ids in zip(texts, plain(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_null_ids_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b c"), (1, "b c")], "doc_id long, text string").repartition(3)
     rows = P.best_fit_packing(df).collect()

@@ -44,12 +44,35 @@ def test_unigram_equals_library(spark, tmp_path):
     path.write_bytes(model.SerializeToString())
     lib, table = sp.SentencePieceProcessor(model_file=str(path)), S.Pieces.load(str(path))
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
-    words = sorted({w for t in docs.text[:20] for w in t.split()})[:800]
-    df = spark.createDataFrame([(S.MARK + w,) for w in words], "word string")
-    got = {r.word[1:]: list(r.ids) for r in S.encode_words(df, table, "unigram").collect()}
+    texts = [*docs.text[:20], "ab" * 60 + "語x" * 50, "d" * 61, "é" * 61 + " " + "z" * 62, "one 😀 two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: ids(r) for r in S.encode(df, table, model="unigram", chunk_bytes=10_000).collect()}
     score = lambda found: sum(lib.get_score(i) for i in found)
-    for w in words:  # of paths with equal sums the library may take another
-        assert got[w] == lib.encode(w) or abs(score(got[w]) - score(lib.encode(w))) < 1e-3, w
+    for t in texts:  # of paths with equal sums the library may take another
+        want = lib.encode(t)
+        assert got[t] == want or lib.decode(got[t]) == t and abs(score(got[t]) - score(want)) < 1e-2, t[:50]
+
+
+def test_long_words_without_spaces(spark, pieces):
+    """A run of 200 kB, runs around the width of a long, and one whose every pair of letters is in a piece."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    run = "".join(rng.choice(letters, 200_000))
+    texts = [run, "語" * 70_000, "aaaaaaaaab" * 500, *("".join(rng.choice(list("inthesaro"), n)) for n in range(55, 70)), "x " + "in" * 31, "▁" * 100]
+    lib = sp.SentencePieceProcessor(model_file=PATH)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.encode(df, pieces).collect():
+        assert ids(r) == lib.encode(r.text), r.text[:60]
+
+
+def test_random_words(spark, pieces):
+    rng = np.random.default_rng(8)
+    lib = sp.SentencePieceProcessor(model_file=PATH)
+    chars = list("etaoinshrdlu'.,-()0 19ETAÉé語\n\t$")
+    texts = ["".join(rng.choice(chars, rng.integers(1, 40))) for _ in range(4_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = S.encode(df, pieces, chunk_bytes=20_000).collect()
+    assert len(got) == len(texts) and all(ids(r) == lib.encode(r.text) for r in got)
 
 
 def test_empty_table(spark, pieces):
