@@ -56,17 +56,17 @@ def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node reachable.
 
     ``links`` has the long columns a and b.  Union-find inside the tasks leaves a forest;
     rounds of large and small stars (each node hangs its larger, then its smaller
-    neighbours on the smallest) flatten it in about log(n) rounds.  Every round is
+    neighbours on the smallest) flatten it in about log(n) rounds, until one changes nothing.  Every round is
     written to the shared folder.  A hub's links are joined, never gathered.
     """
     edges = staged(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long"), "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

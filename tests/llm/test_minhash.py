@@ -55,8 +55,8 @@ def test_equals_brute_force_on_documents(spark):
     assert near(spark, rows, size=3, percent=85) == brute(rows, 3, 85)
 
 
-def test_chains_copies_and_tiles(spark):
-    """A chain of edited copies, exact copies, and unlike texts; a tile of two rows."""
+def test_chains_and_copies(spark):
+    """A chain of edited copies, exact copies, and unlike texts."""
     rng = np.random.default_rng(5)
     base = [f"w{rng.integers(0, 500)}" for _ in range(60)]
     rows, now = [], list(base)
@@ -66,7 +66,7 @@ def test_chains_copies_and_tiles(spark):
         now[int(rng.integers(0, 60))] = f"new{i}"
     rows += [(200 + i, " ".join(base).upper()) for i in range(5)]
     rows += [(300, None), (301, ""), (302, " \n"), (303, "one"), (304, "One "), (305, "one two"), (306, "one two")]
-    assert near(spark, rows, size=3, percent=85, tile=150) == brute(rows, 3, 85)
+    assert near(spark, rows, size=3, percent=85) == brute(rows, 3, 85)
 
 
 def test_null_ids_repeated_rows_and_clashing_columns(spark):
@@ -88,6 +88,63 @@ def test_long_text_in_blocks(monkeypatch):
     assert (M.sets_of([text], 3)[0] == whole).all()
 
 
+def test_word_longer_than_blocks_is_one_word(monkeypatch):
+    texts = ["a" * 5_000, "a" * 4_999 + "b c", "x " + "é" * 3_000 + " y z", "Q" * 1_000, "q" * 1_000 + " ", " " + "k" * 999 + " m", "one two\n" * 400]
+    whole = M.sets_of(texts, 2)
+    for block in (7, 1000):
+        monkeypatch.setattr(M, "BLOCK", block)
+        M._TABLES.clear()
+        assert all((x == y).all() for x, y in zip(M.sets_of(texts, 2), whole))
+    M._TABLES.clear()
+    assert [len(x) for x in whole] == [1, 1, 3, 1, 1, 1, 2]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_keys_meet_for_every_alike_pair(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        pool = np.unique(rng.integers(0, 2**63, 3 * n).astype(np.uint64))
+        a = pool[:n]
+        swap = int(rng.integers(0, max(1, n // 8) + 1))
+        b = np.unique(np.concatenate([a[swap:], pool[n:n + int(rng.integers(0, swap + n // 10 + 1))]]))
+        both = len(np.intersect1d(a, b))
+        ranks = lambda x: (x % np.uint64(50)).astype(np.int64)
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            met = lambda x: set(zip(*(k.tolist() for k in M.rare_keys(x, ranks(x), percent))))
+            assert any((key, 2 if side == 2 else 1 - side) in met(b) for key, side in met(a))
+
+
+def test_many_pages_on_one_template_and_a_stray(spark):
+    """25,000 pages on one template, no two alike: they agree in bands, but no pairs of them are formed."""
+    rows = [(i, f"sorry the page you asked for was not found {i}") for i in range(25_000)]
+    assert near(spark, rows, size=3, percent=85) == {(i, 8, i, True) for i, _ in rows}
+    base = [f"w{i}" for i in range(40)]
+    copies = [(i, " ".join([*base, f"end{i}"])) for i in range(3_000)]
+    stray = (9_000, " ".join([*base[:34], *(f"other{i}" for i in range(7))]))
+    got = near(spark, [*copies, stray], size=3, percent=85)
+    assert got == {(i, 39, 0, i == 0) for i, _ in copies} | {(9_000, 39, 9_000, True)}
+
+
+def test_pairs_formed_across_components_only(spark):
+    rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(0, 2**62, 100))
+    rows = [(i, 0, [int(v) for v in common] + [i]) for i in range(300)] + [(1_000, 1_000, [int(v) for v in common[:95]] + [5_000])]
+    sets = spark.createDataFrame(rows, "node long, component long, hashes array<long>")
+    assert {tuple(r) for r in M.across(sets, 85).collect()} == {(i, 1_000) for i in range(300)}
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b + " end", "u"), (4, c, "v"), (4, c, "w"), (None, a, "n"), (None, a, "n"), (5, None, "e"), (6, "", "e"), (6, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept string").repartition(4)
+    got = M.one_of_each(df)
+    assert got.columns == df.columns
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert found == sorted([(1, a), (1, b), (4, c), (None, a), (None, a), (5, None), (6, "")], key=str)
+    assert M.one_of_each(df.limit(0)).collect() == []
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 1200).astype(np.uint64)
