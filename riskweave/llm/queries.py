@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = sentencepiece.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    read = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    read = sentencepiece.encode(table(spark, sf_dir, "documents"), pieces, decoded=True)
     return read.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 

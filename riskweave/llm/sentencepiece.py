@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Words are cut where no piece holds the two characters in a row; such parts ("atoms")
-can be encoded apart.  The distinct atoms of a chunk of documents are exploded into their
+Texts are cut where no piece holds the two characters in a row; such parts ("atoms": words,
+and the punctuation between them) can be encoded apart.  The distinct atoms of a chunk of documents are exploded into their
 substrings of bounded length and joined to the piece table; that gives the edges of a
 lattice, grouped by atom.  A higher-order fold over an atom's edges picks its pieces,
 and leaves them as one long whose set bits are the boundaries:
@@ -27,8 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweave.llm.common import Cache, as_batch, let, staged
 
 MARK = "\u2581"
-# no piece holds a line feed or has a mark after another character
-WORD = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 WIDTH = 61            # characters of an atom whose boundaries fit a long
 
 
@@ -62,13 +60,30 @@ def marked(text: str) -> str:
 
 
 def follows(pieces: Pieces) -> set[str]:
-    """Pairs of characters that stand side by side in a piece; elsewhere words can be cut."""
+    """Pairs of characters that stand side by side in a piece; elsewhere texts can be cut."""
     return {p[i:i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1)}
 
 
-def cut(word: str, inside: set[str]) -> list[str]:
-    at = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in inside), len(word)]
-    return [word[i:j] for i, j in zip(at, at[1:])]
+def atom_pattern(inside: set[str]) -> str:
+    """A pattern whose matches cover a marked text and are cut between characters that no piece holds in a row only.
+
+    No piece holds a line feed or has a mark after another character (checked at loading).  ASCII
+    letters and signs that no piece joins to one are apart; other characters go with both.
+    """
+    letters = {chr(c) for c in range(65, 123) if chr(c).isalpha()}
+    signs = {chr(c) for c in range(33, 127)} - letters
+    signs -= {c for pair in inside if pair[0] in letters or pair[1] in letters for c in pair}
+    some = "".join(f"\\x{ord(c):02x}" for c in sorted(signs)) or MARK
+    run, other = rf"(?:[A-Za-z]+|[{some}]+)", rf"[^{MARK}\nA-Za-z{some}]+"
+    return rf"{MARK}*(?:{run}(?:{other}{run}?)*|(?:{other}{run}?)+)|{MARK}+|\n"
+
+
+def cut(atom: str, inside: set[str]) -> list[str]:
+    """The parts of an atom: of a long one, wherever no piece goes across."""
+    if len(atom) <= WIDTH:
+        return [atom]
+    at = [0, *(i for i in range(1, len(atom)) if atom[i - 1:i + 1] not in inside), len(atom)]
+    return [atom[i:j] for i, j in zip(at, at[1:])]
 
 
 def lattice(atoms: DataFrame, pieces: Pieces, shortest: int = 1) -> DataFrame:
@@ -167,10 +182,15 @@ class Assembler:
     def atom(self, atom: str, masks: dict[str, int]) -> bytes:
         if len(atom) > WIDTH:
             cuts = self.long_merge(atom) if self.model == "bpe" else self.long_path(atom)
-        else:
-            mask = masks.get(atom, -1)
-            cuts = [i for i in range(len(atom) + 1) if mask >> i & 1]
-        return b"".join([self.piece(atom[i:j]) for i, j in zip(cuts, cuts[1:])])
+            return b"".join([self.piece(atom[i:j]) for i, j in zip(cuts, cuts[1:])])
+        mask = masks.get(atom)
+        if mask is None:
+            return b"".join(map(self.piece, atom))
+        bits, out, i = f"{mask:b}"[::-1], [], 0
+        while (j := bits.find("1", i + 1)) > 0:
+            out.append(self.ids.get(atom[i:j]) or self.piece(atom[i:j]))
+            i = j
+        return b"".join(out)
 
     def long_merge(self, atom: str) -> list[int]:
         """BPE of an atom whose boundaries do not fit a long: a heap of joinable neighbours, n log n."""
@@ -214,15 +234,22 @@ class Assembler:
         return cuts[::-1]
 
 
-def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """Per row: doc_id, text, ids (little-endian int32).  NULL and empty texts have no ids; repeated rows are encoded each.
+def read_back(ids: bytes, texts: list[bytes]) -> str:
+    return b"".join([texts[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "replace").removeprefix(" ")
+
+
+def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 2 << 20, decoded: bool = False) -> DataFrame:
+    """Per row: doc_id, text, ids (little-endian int32); with ``decoded`` also what the ids decode to, in the same pass.
+
+    NULL and empty texts have no ids; repeated rows are encoded each.
 
     A text is never divided: one beyond ``chunk_bytes`` is a chunk of its own.  Columns
     other than doc_id and text are not read.
     """
     import re
 
-    pattern, inside = re.compile(WORD), follows(pieces)
+    inside = follows(pieces)
+    pattern = re.compile(atom_pattern(inside))
     schema = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("atoms", pa.list_(pa.string()))])
     texts_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -235,12 +262,14 @@ def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes:
             words = set()
             for _, text in rows:
                 words.update(pattern.findall(marked(text or "")))
-            atoms = {a for w in words for a in cut(w, inside) if 1 < len(a) <= WIDTH or model != "bpe" and len(a) == 1}
+            atoms = [w for w in words if len(w) <= WIDTH] + list({a for w in words if len(w) > WIDTH for a in cut(w, inside) if len(a) <= WIDTH} - words)
+            if model == "bpe":
+                atoms = [a for a in atoms if len(a) > 1]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts_schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(as_batch(rows, texts_schema))
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                                               pa.array([sorted(atoms)], pa.list_(pa.string()))], schema=schema)
+                                               pa.array([atoms], pa.list_(pa.string()))], schema=schema)
 
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -256,21 +285,23 @@ def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes:
     made = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(chunks, "chunk long, texts binary, atoms array<string>"), "chunks")
     atoms = made.select("chunk", "atoms").repartition("chunk").select("chunk", F.explode("atoms").alias("atom"))
     known = boundaries(atoms, pieces) if model == "bpe" else best_boundaries(atoms, pieces)
-    model_pieces = Pieces(pieces.rows, pieces.byte0, pieces.unknown, [])
+    model_pieces = Pieces(pieces.rows, pieces.byte0, pieces.unknown, pieces.texts if decoded else [])
+    columns = {"doc_id": pa.int64(), "text": pa.string(), "ids": pa.binary(), **({"decoded": pa.string()} if decoded else {})}
 
     def assembled(texts: pa.Table, found: pa.Table) -> pa.Table:
         masks = dict(zip(found.column("atom").to_pylist(), found.column("mask").to_pylist()))
         worker = Assembler(model_pieces, inside, model)
-        atoms = Cache(lambda a: worker.atom(a, masks))
-        words = Cache(lambda w: b"".join([atoms[a] for a in cut(w, inside)]))
+        atoms = Cache(lambda a: b"".join([worker.atom(part, masks) for part in cut(a, inside)]))
         out = []
         for blob in texts.column("texts").to_pylist():
             for batch in pa.ipc.open_stream(blob):
-                coded = [b"".join([words[w] for w in pattern.findall(marked(t or ""))]) for t in batch.column(1).to_pylist()]
-                out.append(pa.table({"doc_id": batch.column(0), "text": batch.column(1), "ids": pa.array(coded, pa.binary())}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
+                coded = [b"".join([atoms[a] for a in pattern.findall(marked(t or ""))]) for t in batch.column(1).to_pylist()]
+                more = {"decoded": pa.array([read_back(ids, model_pieces.texts) for ids in coded], pa.string())} if decoded else {}
+                out.append(pa.table({"doc_id": batch.column(0), "text": batch.column(1), "ids": pa.array(coded, pa.binary()), **more}))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in columns.items()})
 
-    return made.select(F.col("chunk").alias("of"), "texts").groupBy("of").cogroup(known.groupBy("chunk")).applyInArrow(assembled, "doc_id long, text string, ids binary")
+    return (made.select(F.col("chunk").alias("of"), "texts").groupBy("of").cogroup(known.groupBy("chunk"))
+            .applyInArrow(assembled, "doc_id long, text string, ids binary" + (", decoded string" if decoded else "")))
 
 
 def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
@@ -286,8 +317,7 @@ def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = b"".join([texts[i] for i in np.frombuffer(ids, "<i4").tolist()])
-                rows.append((doc_id, text, ids, raw.decode("utf-8", "replace").removeprefix(" ")))
+                rows.append((doc_id, text, ids, read_back(ids, texts)))
             yield as_batch(rows, schema)
 
     return coded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids binary, decoded string")

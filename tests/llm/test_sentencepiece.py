@@ -26,6 +26,8 @@ def test_equals_library_on_documents(spark, pieces):
     lib = sp.SentencePieceProcessor(model_file=PATH)
     out = S.decode(S.encode(df, pieces, chunk_bytes=100_000), pieces).collect()
     assert len(out) == len(rows)
+    at_once = S.encode(df, pieces, decoded=True).collect()
+    assert sorted(map(str, out)) == sorted(map(str, at_once))
     for r in out:
         assert ids(r) == lib.encode(r.text or ""), r.text
         assert r.decoded == lib.decode(ids(r))
