@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweave.llm.common import Cache, as_batch, let, staged
+from riskweave.llm.common import Cache, as_batch, let
 
 MARK = "\u2581"
 WIDTH = 61            # characters of an atom whose boundaries fit a long
@@ -184,8 +184,9 @@ class Assembler:
             cuts = self.long_merge(atom) if self.model == "bpe" else self.long_path(atom)
             return b"".join([self.piece(atom[i:j]) for i, j in zip(cuts, cuts[1:])])
         mask = masks.get(atom)
-        if mask is None:
-            return b"".join(map(self.piece, atom))
+        if mask is None:                    # no piece joins two of its characters, or the chunk was dealt otherwise
+            cuts = self.long_merge(atom) if self.model == "bpe" else self.long_path(atom)
+            return b"".join([self.piece(atom[i:j]) for i, j in zip(cuts, cuts[1:])])
         bits, out, i = f"{mask:b}"[::-1], [], 0
         while (j := bits.find("1", i + 1)) > 0:
             out.append(self.ids.get(atom[i:j]) or self.piece(atom[i:j]))
@@ -238,52 +239,57 @@ def read_back(ids: bytes, texts: list[bytes]) -> str:
     return b"".join([texts[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 2 << 20, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 4 << 20, decoded: bool = False) -> DataFrame:
     """Per row: doc_id, text, ids (little-endian int32); with ``decoded`` also what the ids decode to, in the same pass.
 
     NULL and empty texts have no ids; repeated rows are encoded each.
 
     A text is never divided: one beyond ``chunk_bytes`` is a chunk of its own.  Columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read.  ``docs`` is read twice, for atoms and for texts; where
+    its rows come in another order the second time, atoms that a chunk then lacks are merged in
+    place, with the same ids.
     """
     import re
 
     inside = follows(pieces)
     pattern = re.compile(atom_pattern(inside))
-    schema = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("atoms", pa.list_(pa.string()))])
     texts_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def chunks(batches):
         from pyspark import TaskContext
 
         chunk, rows, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def out():
-            words = set()
-            for _, text in rows:
-                words.update(pattern.findall(marked(text or "")))
-            atoms = [w for w in words if len(w) <= WIDTH] + list({a for w in words if len(w) > WIDTH for a in cut(w, inside) if len(a) <= WIDTH} - words)
-            if model == "bpe":
-                atoms = [a for a in atoms if len(a) > 1]
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, texts_schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(as_batch(rows, texts_schema))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                                               pa.array([atoms], pa.list_(pa.string()))], schema=schema)
-
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 more = len((row[1] or "").encode())
                 if rows and size + more > chunk_bytes:
-                    yield out()
+                    yield chunk, rows
                     chunk, rows, size = chunk + 1, [], 0
                 rows.append(row)
                 size += more
         if rows:
-            yield out()
+            yield chunk, rows
+
+    def packed(batches):
+        for chunk, rows in chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts_schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
+                writer.write_batch(as_batch(rows, texts_schema))
+            yield pa.RecordBatch.from_pydict({"of": pa.array([chunk], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    made = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(chunks, "chunk long, texts binary, atoms array<string>"), "chunks")
-    atoms = made.select("chunk", "atoms").repartition("chunk").select("chunk", F.explode("atoms").alias("atom"))
+    def distinct(batches):
+        for chunk, rows in chunks(batches):
+            words = set()
+            for _, text in rows:
+                words.update(pattern.findall(marked(text or "")))
+            atoms = {w for w in words if len(w) <= WIDTH}.union(*(cut(w, inside) for w in words if len(w) > WIDTH)) - {"\n"}
+            atoms = sorted(a for a in atoms if len(a) <= WIDTH and (len(a) > 1 or model != "bpe"))
+            if atoms:
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "atoms": pa.array(["\n".join(atoms)], pa.string())})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    atoms = (rows.mapInArrow(distinct, "chunk long, atoms string").repartition("chunk")
+             .select("chunk", F.explode(F.split("atoms", "\n")).alias("atom")))
     known = boundaries(atoms, pieces) if model == "bpe" else best_boundaries(atoms, pieces)
     model_pieces = Pieces(pieces.rows, pieces.byte0, pieces.unknown, pieces.texts if decoded else [])
     columns = {"doc_id": pa.int64(), "text": pa.string(), "ids": pa.binary(), **({"decoded": pa.string()} if decoded else {})}
@@ -300,7 +306,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes:
                 out.append(pa.table({"doc_id": batch.column(0), "text": batch.column(1), "ids": pa.array(coded, pa.binary()), **more}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in columns.items()})
 
-    return (made.select(F.col("chunk").alias("of"), "texts").groupBy("of").cogroup(known.groupBy("chunk"))
+    return (rows.mapInArrow(packed, "of long, texts binary").groupBy("of").cogroup(known.groupBy("chunk"))
             .applyInArrow(assembled, "doc_id long, text string, ids binary" + (", decoded string" if decoded else "")))
 
 
