@@ -199,36 +199,61 @@ def quartile_bins(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
     return {f: [row[f"lo_{f}"], *row[f"q_{f}"], row[f"hi_{f}"]] for f in features}
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(4294967296)).cast("double") / F.lit(4294967296.0)
+def bin_of(value: Column, edges: list[float]) -> Column:
+    """0 to 3 by quartile; -1, which is never drawn, for NULL.  Equal quartiles leave the bins between them empty."""
+    return F.coalesce(sum(((value > F.lit(q)).cast("int") for q in edges[2:4]), (value > F.lit(edges[1])).cast("int")), F.lit(-1))
 
 
-def perturb(df: DataFrame, features: list[str], bins: dict[str, list[float]], row_id: str = "row_id",
-            samples: int = 5000, seed: int = 42) -> DataFrame:
-    """``samples`` inputs around each row; the first is the row itself.
+def bin_counts(df: DataFrame, features: list[str], bins: dict[str, list[float]]) -> dict[str, list[int]]:
+    """Rows per quartile bin, in one aggregate; rows without a value are in none."""
+    row = df.agg(*[F.coalesce(F.sum((bin_of(F.col(f), bins[f]) == k).cast("long")), F.lit(0)).alias(f"{j}_{k}")
+                   for j, f in enumerate(features) for k in range(4)]).first()
+    return {f: [int(row[f"{j}_{k}"]) for k in range(4)] for j, f in enumerate(features)}
 
-    Per feature a quartile bin is drawn, then a value inside it, from hashes of
-    row, sample and feature.  ``__z<j>`` says whether feature ``j`` stayed in the
-    row's own bin.
+
+def draws(spark, features: list[str], bins: dict[str, list[float]], counts: dict[str, list[int]],
+          samples: int = 5000, seed: int = 42) -> DataFrame:
+    """The perturbation table: ``samples - 1`` inputs that all rows share (a row's own values are its first).
+
+    Per feature a bin is drawn as often as training rows lie in it, then a value evenly
+    inside the bin, from digests of seed, number and feature.  ``__b<j>`` is the bin of feature j.
     """
-    draws = df.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    first = F.col("__s") == 0
-    drawn, same = {}, {}
+    table = spark.range(1, samples).withColumnRenamed("id", "__s")
+    cols = {}
     for j, f in enumerate(features):
-        edges = bins[f]
+        edges, total = bins[f], sum(counts[f])
+        u, v = (C.unit_uniform(F.lit(seed), F.lit(what), F.col("__s"), F.lit(f)) for what in ("bin", "place"))
+        ups = [sum(counts[f][:k + 1]) / total if total else 1.0 for k in range(3)]
+        pick = sum(((u >= F.lit(c)).cast("int") for c in ups[1:]), (u >= F.lit(ups[0])).cast("int"))
+        left, right = (F.element_at(F.array(*[F.lit(float(e)) for e in some]), pick + 1) for some in (edges[:4], edges[1:]))
+        cols |= {f"__b{j}": pick, f: right - v * (right - left)}
+    return table.withColumns(cols)
+
+
+def pattern_sums(patterns: DataFrame, drawn: DataFrame, d: int) -> DataFrame:
+    """Adds ``__sums`` to a table of row patterns (``__bins``, an array of d bins): the weighted sums a ridge fit needs.
+
+    ``drawn`` has __b0.. and __p, one row per draw; it is reduced to its distinct patterns, at
+    most as many as there are draws, and every row pattern is compared with those in blocks.  Near draws
+    weigh more.  The sums: weights, weights times score, then per feature both for the draws in
+    the row's bin, then the products of features, upper triangle.
+    """
+    known = drawn.groupBy(*[f"__b{j}" for j in range(d)]).agg(F.count("*").alias("n"), F.sum("__p").alias("p")).collect()
+    drawn_bins = np.array([[r[f"__b{j}"] for j in range(d)] for r in known], np.int8).reshape(-1, d)
+    n, p = np.array([r["n"] for r in known], float), np.array([r["p"] for r in known], float)
+    upper, scale = np.triu_indices(d), -0.5 / (0.75 ** 2 * d)
 
-        def bin_of(c, cuts=edges[1:4]):
-            return sum(((c > q).cast("int") for q in cuts[1:]), (c > cuts[0]).cast("int"))
+    @F.pandas_udf("array<double>")
+    def sums(some: pd.Series) -> pd.Series:
+        out = []
+        for row in some:
+            same = (drawn_bins == np.asarray(row, np.int8)).astype(float)
+            w = np.exp((d - same.sum(axis=1)) * scale)
+            wn, wp = w * n, w * p
+            out.append([wn.sum(), wp.sum(), *(wn @ same), *(wp @ same), *((same * wn[:, None]).T @ same)[upper]])
+        return pd.Series(out)
 
-        u = _uniform(F.lit(seed), F.col(row_id), F.col("__s"), F.lit(2 * j))
-        v = _uniform(F.lit(seed), F.col(row_id), F.col("__s"), F.lit(2 * j + 1))
-        pick = F.floor(u * 4.0).cast("int")
-        left = F.element_at(F.array(*[F.lit(e) for e in edges[:4]]), pick + 1)
-        right = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), pick + 1)
-        drawn[f"__d{j}"] = F.when(first, F.col(f)).otherwise(right - v * (right - left))
-        same[f"__z{j}"] = F.when(first | (bin_of(F.col(f)) == bin_of(F.col(f"__d{j}"))), 1.0).otherwise(0.0)
-    rows = draws.withColumns(drawn).withColumns(same)
-    return rows.withColumns({f: F.col(f"__d{j}") for j, f in enumerate(features)}).drop(*drawn)
+    return patterns.withColumn("__sums", sums("__bins"))
 
 
 def surrogate(df: DataFrame, scorer: Scorer, features: list[str], bins: dict[str, list[float]],
@@ -236,49 +261,54 @@ def surrogate(df: DataFrame, scorer: Scorer, features: list[str], bins: dict[str
               alpha: float = 1.0) -> DataFrame:
     """Weights of a local linear model per row.
 
-    The model's features say "same bin as the row"; near samples weigh more.
-    The weighted sums a ridge fit needs are plain sums per row, reduced inside
-    the task; only they reach the solver.  With ``top_k`` the features of largest
-    weight are kept and fitted again.
+    The model's features say "same bin as the row"; near samples weigh more.  The draws do
+    not depend on the row: they are made and scored once, whatever the number of rows, and
+    their weighted sums depend on the row's bins only, so each pattern of bins is summed
+    once and joined to its rows.  A row adds its own point and solves.  With ``top_k`` up to 6 features are
+    chosen forward by explained variance; more by their weight in a first fit.  The scorer gets the
+    features alone for the draws.  ``df`` gives the bins' frequencies.
     """
     d = len(features)
-    width = 0.75 * math.sqrt(d)
-    swapped = perturb(df, features, bins, row_id, samples, seed)
-    scored = scorer(swapped, "__p")
-    differ = F.lit(float(d)) - sum((F.col(f"__z{j}") for j in range(1, d)), F.col("__z0"))
-    scored = scored.withColumn("__w", F.exp(differ * F.lit(-0.5 / (width * width))))
-    w, z = F.col("__w"), [F.col(f"__z{j}") for j in range(d)]
-    sums = [F.sum(w), F.sum(w * F.col("__p"))]
-    sums += [F.sum(w * z[j]) for j in range(d)]
-    sums += [F.sum(w * z[j] * F.col("__p")) for j in range(d)]
-    sums += [F.sum(w * z[i] * z[j]) for i in range(d) for j in range(i, d)]
-    reduced = scored.groupBy(row_id).agg(*[s.alias(f"__a{n}") for n, s in enumerate(sums)])
-    packed = reduced.select(row_id, F.array(*[F.col(f"__a{n}") for n in range(len(sums))]).alias("__sums"))
-    k = top_k or d
+    spark = df.sparkSession
+    drawn = scorer(draws(spark, features, bins, bin_counts(df, features, bins), samples, seed), "__p")
+    own = F.array(*[bin_of(F.col(f), bins[f]) for f in features])
+    rows = scorer(df.withColumn("__bins", own), "__p").select(row_id, "__p", "__bins")
+    solved = (rows.join(pattern_sums(rows.select("__bins").distinct(), drawn, d), "__bins")
+              .withColumn("__c", _solver(d, top_k or d, alpha)("__sums", "__p")))
+    return solved.select(row_id, *[F.col("__c")[j].alias(f) for j, f in enumerate(features)])
 
+
+def _solver(d: int, k: int, alpha: float):
     @F.pandas_udf("array<double>")
-    def solve(packed_sums: pd.Series) -> pd.Series:
+    def solve(packed: pd.Series, own: pd.Series) -> pd.Series:
         def ridge(a, b, penalty):
             return np.linalg.solve(a + penalty * np.eye(len(b)), b)
 
+        def forward(a, b):
+            """Features by the variance they explain together; ties by position."""
+            used: list[int] = []
+            for _ in range(k):
+                gains = [(-(b[some] @ np.linalg.lstsq(a[np.ix_(some, some)], b[some], rcond=None)[0]), j)
+                         for j in range(d) if j not in used for some in [[*used, j]]]
+                used.append(min(gains)[1])
+            return np.sort(used)
+
         out = []
-        for s in packed_sums:
-            total, mean_y = s[0], s[1] / s[0]
-            zx, zy, tri = np.array(s[2:2 + d]), np.array(s[2 + d:2 + 2 * d]), s[2 + 2 * d:]
+        for s, p in zip(packed, own):
+            total, mean_y = s[0] + 1.0, (s[1] + p) / (s[0] + 1.0)
+            zx, zy = np.array(s[2:2 + d]) + 1.0, np.array(s[2 + d:2 + 2 * d]) + p
             a = np.zeros((d, d))
-            a[np.triu_indices(d)] = tri
+            a[np.triu_indices(d)] = np.array(s[2 + 2 * d:]) + 1.0
             a = a + a.T - np.diag(np.diag(a)) - np.outer(zx, zx) / total
             b = zy - zx * mean_y
-            weights = np.zeros(d)
             used = np.arange(d)
             if k < d:
-                used = np.sort(np.argsort(-np.abs(ridge(a, b, 0.01)), kind="stable")[:k])
+                used = forward(a, b) if k <= 6 else np.sort(np.argsort(-np.abs(ridge(a, b, 0.01)), kind="stable")[:k])
+            weights = np.zeros(d)
             weights[used] = ridge(a[np.ix_(used, used)], b[used], alpha)
             out.append(weights.tolist())
         return pd.Series(out)
-
-    solved = packed.withColumn("__c", solve("__sums"))
-    return solved.select(row_id, *[F.col("__c")[j].alias(f) for j, f in enumerate(features)])
+    return solve
 
 
 def compare(shap_names: Column, lime_names: Column, k: int) -> dict[str, Column]:

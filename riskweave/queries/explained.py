@@ -217,13 +217,66 @@ def shapley_exact(spark, sf_dir):
                       *[(F.round(f, 6) + 0.0).alias(f) for f in _SHAP])
 
 
+_LOCAL = ["age", "oldpeak", "chol", "thalach", "trestbps"]
+_SAMPLES = 5000
+_DIGITS = {"oldpeak": 1}  # quartiles are approximate; rounded ones can be written in SQL
+
+
+def _surrogate_sums_sql() -> str:
+    """The sums behind every local model, from the definition: every draw against every pattern of bins."""
+    md5 = lambda what, f: f"CAST(CAST('0x' || substr(md5('42|{what}|' || CAST(s AS STRING) || '|{f}'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
+    filled = ", ".join(f"coalesce({f}, (SELECT median({f}) FROM clean)) AS {f}" for f in _LOCAL)
+    quarter = lambda f, k: f"round(quantile_disc({f}, {k / 4}), {_DIGITS.get(f, 0)}) AS {f}_{k}"
+    edges = ", ".join(f"min({f}) AS {f}_0, {quarter(f, 1)}, {quarter(f, 2)}, {quarter(f, 3)}, max({f}) AS {f}_4" for f in _LOCAL)
+    bin_sql = lambda f: f"CAST({f} > {f}_1 AS INTEGER) + CAST({f} > {f}_2 AS INTEGER) + CAST({f} > {f}_3 AS INTEGER)"
+    ups = ", ".join(f"sum(CASE WHEN b_{f} <= {k} THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS {f}_u{k}" for f in _LOCAL for k in range(3))
+    picks = ", ".join(f"CAST({md5('bin', f)} >= {f}_u0 AS INTEGER) + CAST({md5('bin', f)} >= {f}_u1 AS INTEGER) + CAST({md5('bin', f)} >= {f}_u2 AS INTEGER) AS d_{f}, {md5('place', f)} AS v_{f}" for f in _LOCAL)
+    right = lambda f: f"CASE d_{f} WHEN 0 THEN {f}_1 WHEN 1 THEN {f}_2 WHEN 2 THEN {f}_3 ELSE {f}_4 END"
+    left = lambda f: f"CASE d_{f} WHEN 0 THEN {f}_0 WHEN 1 THEN {f}_1 WHEN 2 THEN {f}_2 ELSE {f}_3 END"
+    values = ", ".join(f"{right(f)} - v_{f} * ({right(f)} - {left(f)}) AS {f}" for f in _LOCAL)
+    p = _CURVED.format(rf=score_sql("random_forest"), ada=score_sql("adaboost"))
+    same = {f: f"CAST(b_{f} = d_{f} AS DOUBLE)" for f in _LOCAL}
+    z = " + ".join(same.values())
+    sums = ", ".join(f"round(sum(w * {same[f]}), 6) AS wz_{f}, round(sum(w * {same[f]} * p), 6) AS wzp_{f}" for f in _LOCAL)
+    keys = ", ".join(f"b_{f}" for f in _LOCAL)
+    return f"""WITH {COHORT_CTE},
+full0 AS (SELECT row_id, {filled} FROM clean), edges AS (SELECT {edges} FROM full0),
+binned AS (SELECT row_id, {', '.join(f'{bin_sql(f)} AS b_{f}' for f in _LOCAL)} FROM full0, edges),
+shares AS (SELECT {ups} FROM binned),
+picked AS (SELECT s, {picks} FROM range(1, {_SAMPLES}) t(s), shares),
+drawn AS (SELECT s, {', '.join(f'd_{f}' for f in _LOCAL)}, {values} FROM picked, edges),
+scored AS (SELECT *, {p} AS p FROM drawn),
+patterns AS (SELECT {keys}, count(*) AS n_rows FROM binned GROUP BY {keys}),
+pairs AS (SELECT *, exp(({len(_LOCAL)} - ({z})) * (-0.5e0 / (0.5625e0 * {len(_LOCAL)}))) AS w FROM patterns, scored)
+SELECT {keys}, n_rows, round(sum(w), 6) AS w, round(sum(w * p), 6) AS wp, {sums} FROM pairs GROUP BY {keys}, n_rows"""
+
+
+def _local_rows(spark, sf_dir):
+    df = clean(spark, sf_dir)
+    df = prepare.fit(df, _LOCAL).transform(df, keep=["row_id"], scale=False)
+    bins = explain.quartile_bins(df, _LOCAL)
+    return df, {f: [e[0], *(round(q, _DIGITS.get(f, 0)) for q in e[1:4]), e[4]] for f, e in bins.items()}
+
+
+@query("surrogate_sums", _surrogate_sums_sql())
+def surrogate_sums(spark, sf_dir):
+    """The weighted sums of the shared draws per pattern of quartile bins."""
+    df, bins = _local_rows(spark, sf_dir)
+    d = len(_LOCAL)
+    drawn = _curved(explain.draws(spark, _LOCAL, bins, explain.bin_counts(df, _LOCAL, bins), _SAMPLES), "__p")
+    patterns = df.groupBy(F.array(*[explain.bin_of(F.col(f), bins[f]) for f in _LOCAL]).alias("__bins")).agg(F.count("*").alias("n_rows"))
+    sums = F.col("__sums")
+    of = lambda k, name: F.round(sums[k], 6).alias(name)
+    return explain.pattern_sums(patterns, drawn, d).select(
+        *[F.col("__bins")[j].alias(f"b_{f}") for j, f in enumerate(_LOCAL)], "n_rows", of(0, "w"), of(1, "wp"),
+        *[c for j, f in enumerate(_LOCAL) for c in (of(2 + j, f"wz_{f}"), of(2 + d + j, f"wzp_{f}"))])
+
+
 @query("surrogate_fit")
 def surrogate_fit(spark, sf_dir):
     """Local linear weights around every row; missing values are medians."""
-    names = ["age", "oldpeak", "chol", "thalach"]
-    df = clean(spark, sf_dir)
-    df = prepare.fit(df, [*names, "trestbps"]).transform(df, keep=["row_id"], scale=False)
-    return explain.surrogate(df, _curved, names, explain.quartile_bins(df, names), top_k=3)
+    df, bins = _local_rows(spark, sf_dir)
+    return explain.surrogate(df, _curved, _LOCAL, bins, top_k=3)
 
 
 # --- counterfactuals ---------------------------------------------------------

@@ -50,9 +50,14 @@ def test_shapley_equals_enumeration_and_adds_up(rows):
         assert r.base + sum(r[n] for n in NAMES) == pytest.approx(r.p) == pytest.approx(f(x.a, x.b, x.c))
 
 
-def test_shapley_refuses_too_many_features(rows):
-    with pytest.raises(ValueError, match="coalitions"):
-        explain.shapley(rows, curved, [f"f{i}" for i in range(20)], {})
+def test_shapley_of_fourteen_features_equals_enumeration(spark):
+    """No stop by the number of features: two of fourteen matter, and share as in a model of two."""
+    names = [f"f{i}" for i in range(14)]
+    df = spark.createDataFrame([(1, *[1.0 + i for i in range(14)])], "row_id long, " + ", ".join(f"{n} double" for n in names))
+    scorer = lambda d, out: d.withColumn(out, F.col("f0") * F.col("f1") + F.col("f13"))
+    r = explain.shapley(df, scorer, names, dict.fromkeys(names, 0.0)).collect()[0]
+    want = {"f0": 1.0, "f1": 1.0, "f13": 14.0}
+    assert [r[n] for n in names] == pytest.approx([want.get(n, 0.0) for n in names]) and r.base == 0.0
 
 
 def conditional(node, x, known):
@@ -89,25 +94,58 @@ def ridge(z, y, w, alpha):
     return np.linalg.solve((zc * w[:, None]).T @ zc + alpha * np.eye(z.shape[1]), (zc * w[:, None]).T @ yc)
 
 
-def test_surrogate_is_the_weighted_ridge_of_its_draws(rows):
-    some = rows.where("row_id < 12")
+def best_forward(z, y, w, k):
+    """Features that explain most together, chosen one after the other."""
+    used = []
+    for _ in range(k):
+        left = {}
+        for j in range(z.shape[1]):
+            if j not in used:
+                x = np.column_stack([np.ones(len(y)), z[:, [*used, j]]]) * np.sqrt(w)[:, None]
+                fit = np.linalg.lstsq(x, y * np.sqrt(w), rcond=None)[0]
+                left[j] = ((x @ fit - y * np.sqrt(w)) ** 2).sum()
+        used.append(min(left, key=left.get))
+    return np.sort(used)
+
+
+def test_surrogate_is_the_weighted_ridge_of_its_draws(spark, rows):
+    some = rows.where("row_id < 12").withColumn("a", F.when(F.col("row_id") != 3, F.col("a")))
     bins = explain.quartile_bins(rows, NAMES)
-    draws = explain.perturb(some, NAMES, bins, samples=60).toPandas()
-    full = {r.row_id: r for r in explain.surrogate(some, curved, NAMES, bins, samples=60).collect()}
-    two = {r.row_id: r for r in explain.surrogate(some, curved, NAMES, bins, samples=60, top_k=2).collect()}
+    counts = explain.bin_counts(some, NAMES, bins)
+    assert all(sum(counts[n]) == 12 - (n == "a") for n in NAMES)
+    drawn = explain.draws(spark, NAMES, bins, counts, samples=60).toPandas()
+    assert len(drawn) == 59
+    for j, n in enumerate(NAMES):
+        assert drawn[n].between(bins[n][0], bins[n][-1]).all()
+        assert (np.searchsorted(bins[n][1:4], drawn[n], side="left") == drawn[f"__b{j}"]).all()
+        assert set(drawn[f"__b{j}"]) <= {k for k in range(4) if counts[n][k]}
+    zero = lambda df, out: curved(df.fillna(0.0, NAMES), out)
+    full = {r.row_id: r for r in explain.surrogate(some, zero, NAMES, bins, samples=60).collect()}
+    two = {r.row_id: r for r in explain.surrogate(some, zero, NAMES, bins, samples=60, top_k=2).collect()}
     assert len(full) == 12
-    for i, part in draws.groupby("row_id"):
-        assert len(part) == 60 and (part.loc[part["__s"] == 0, ["__z0", "__z1", "__z2"]] == 1.0).all(axis=None)
-        for n in NAMES:
-            assert part[n].iloc[1:].between(bins[n][0], bins[n][-1]).all()
-        z = part[["__z0", "__z1", "__z2"]].to_numpy()
-        y = np.array([f(*v) for v in part[NAMES].to_numpy()])
+    y_drawn = [f(*v) for v in drawn[NAMES].to_numpy()]
+    for x in some.collect():
+        own = [-1 if x[n] is None else int(np.searchsorted(bins[n][1:4], x[n], side="left")) for n in NAMES]
+        z = np.vstack([np.ones(3), drawn[["__b0", "__b1", "__b2"]].to_numpy() == own]).astype(float)
+        y = np.array([f(*[x[n] or 0.0 for n in NAMES]), *y_drawn])
         w = np.exp(-(3 - z.sum(axis=1)) / (2 * 0.75 ** 2 * 3))
-        assert [full[i][n] for n in NAMES] == pytest.approx(ridge(z, y, w, 1.0))
-        used = np.sort(np.argsort(-np.abs(ridge(z, y, w, 0.01)))[:2])
+        assert [full[x.row_id][n] for n in NAMES] == pytest.approx(ridge(z, y, w, 1.0))
+        used = best_forward(z, y, w, 2)
         want = np.zeros(3)
         want[used] = ridge(z[:, used], y, w, 1.0)
-        assert [two[i][n] for n in NAMES] == pytest.approx(want)
+        assert [two[x.row_id][n] for n in NAMES] == pytest.approx(want)
+
+
+def test_surrogate_scores_its_draws_once(spark, rows):
+    """Twice the rows, the same draws: the scorer sees samples - 1 inputs and the rows."""
+    seen = []
+
+    def counted(df, out):
+        seen.append(df)
+        return curved(df, out)
+    bins = explain.quartile_bins(rows, NAMES)
+    explain.surrogate(rows.union(rows.withColumn("row_id", F.col("row_id") + 10_000)), counted, NAMES, bins, samples=200).collect()
+    assert [df.count() for df in seen] == [199, 2 * rows.count()]
 
 
 def test_surrogate_does_not_depend_on_partitioning(rows):
