@@ -8,11 +8,11 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns as C, fixed
-from riskweave.operators import agreement, cleaning, counterfactual, explain, learners, scoring, search, stability
+from riskweave.operators import agreement, boosting, cleaning, counterfactual, explain, folds, learners, scoring, search, stability
 from riskweave.operators import harmonize, prepare
 from riskweave.plans import external as external_plan, nested, stability as stability_plan, train
 from riskweave.queries.base import (
-    COHORT_CTE, LINEITEM_AS_COHORT, SCORED_CTE, base_probabilities, clean, feature_map, query, raw_cohort,
+    COHORT_CTE, FOLD_CTE, FOLDS, LINEITEM_AS_COHORT, SCORED_CTE, SEED, base_probabilities, clean, feature_map, query, raw_cohort,
     raw_external, score_sql, scored, table, _items,
 )
 from riskweave.queries.audits import AGREE_CTE, FLAG_SQL
@@ -527,3 +527,50 @@ def train_score(spark, sf_dir):
     df = clean(spark, sf_dir)
     fitted = train.load_or_train(df, folder)
     return scoring.score(raw_cohort(spark, sf_dir), fitted).withColumn("report", scoring.report_text())
+
+
+# --- boosting ------------------------------------------------------------------
+
+_BOOST_CUTS = {
+    "age": [float(v) for v in range(25, 90, 5)], "trestbps": [float(v) for v in range(90, 215, 5)], "chol": [float(v) for v in range(100, 575, 25)],
+    "thalach": [float(v) for v in range(65, 220, 5)], "oldpeak": [v / 2 for v in range(1, 14)],
+}
+_BOOST = boosting.Spec(rounds=1, max_depth=1, rate=0.3, l2=1.5, gamma=0.25, min_child_weight=2.0)
+
+
+def _boost_sql() -> str:
+    """The first split of every fold's model, from gradients p - y and hessians p (1 - p) at p = 1/2."""
+    bins = ", ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE len(list_filter({cuts!r}, lambda c: c < {f})) END AS b{j}" for j, (f, cuts) in enumerate(_BOOST_CUTS.items()))
+    long = " UNION ALL ".join(f"SELECT fold, {j} AS feature, b{j} AS bin, y FROM binned" for j in range(len(_BOOST_CUTS)))
+    b = _BOOST
+    worth = lambda g, h: f"({g}) * ({g}) / ({h} + {b.l2}e0)"
+    value = lambda g, h: f"round(-{b.rate}e0 * ({g}) / ({h} + {b.l2}e0), 9)"
+    cut = "CAST(CASE feature " + " ".join(f"WHEN {j} THEN ({cuts!r})[bin + 1]" for j, cuts in enumerate(_BOOST_CUTS.values())) + " END AS DOUBLE)"
+    return f"""WITH {FOLD_CTE},
+binned AS (SELECT fold, y_true AS y, {bins} FROM folded),
+long AS ({long}),
+cells AS (SELECT m.model, feature, bin, sum(0.5e0 - y) AS g, sum(0.25e0) AS h FROM long, range({FOLDS}) m(model) WHERE fold <> m.model GROUP BY m.model, feature, bin),
+run AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY model, feature) AS gt, sum(h) OVER (PARTITION BY model, feature) AS ht,
+  max(bin) OVER (PARTITION BY model, feature) AS last FROM cells WINDOW w AS (PARTITION BY model, feature ORDER BY bin)),
+gains AS (SELECT *, gt - gl AS gr, ht - hl AS hr, 0.5e0 * ({worth('gl', 'hl')} + {worth('gt - gl', '(ht - hl)')} - {worth('gt', 'ht')}) - {b.gamma}e0 AS gain FROM run WHERE bin < last)
+SELECT CAST(model AS INTEGER) AS model, ({list(_BOOST_CUTS)!r})[feature + 1] AS feature, {cut} AS cut, round(gain, 6) AS gain,
+  {value('gl', 'hl')} AS value_left, {value('gr', 'hr')} AS value_right
+FROM gains WHERE hl >= {b.min_child_weight}e0 AND hr >= {b.min_child_weight}e0 AND gain > 0
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY gain DESC, feature, bin) = 1"""
+
+
+@query("boost_level", _boost_sql())
+def boost_level(spark, sf_dir):
+    """One level of all folds' boosted models: cells of gradients and hessians, then the best split of each."""
+    names = list(_BOOST_CUTS)
+    df = folds.stratified(clean(spark, sf_dir).select("row_id", F.col("target").alias("y_true"), *names), "row_id", "y_true", FOLDS, SEED, "fold")
+    rows = boosting.binned(df.withColumns({"__y": F.col("y_true").cast("double"), "__fold": F.col("fold").cast("int"), "__u": F.xxhash64("row_id")}),
+                           names, list(_BOOST_CUTS.values()), ["__y", "__fold", "__u"])
+    specs = [boosting.Spec(**{**vars(_BOOST), "left_out": k}) for k in range(FOLDS)]
+    cells = boosting.level_cells(rows, specs, [[] for _ in specs], [boosting.Tree() for _ in specs], 0, [list(range(len(names)))] * FOLDS, 0)
+    best = boosting.best_splits(cells, specs)
+    value = lambda g, h: F.round(F.col(g) * -_BOOST.rate / (F.col(h) + _BOOST.l2), 9)
+    cuts = F.array(*[F.array(*[F.lit(c) for c in some]) for some in _BOOST_CUTS.values()])
+    return best.where("gain IS NOT NULL").select(
+        "model", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1).alias("feature"), cuts[F.col("feature")][F.col("bin")].alias("cut"),
+        F.round("gain", 6).alias("gain"), value("gl", "hl").alias("value_left"), value("gr", "hr").alias("value_right"))
