@@ -27,6 +27,7 @@ from riskweave.llm.graph import components
 BLOCK = 1 << 20   # bytes of text hashed at a time
 ONE = np.uint64(1)
 SLOTS = 1 << 20     # of the sketch that tells rare shingles from common ones
+STARS = 3           # rounds of stars before the join on rare shingles; they save pairs, the join settles the rest whatever their number
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -334,9 +335,24 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, by
     links = staged(confirmed(pairs, sets, percent), "links")
     found = components(links)
 
-    labelled = buckets.where("members > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(labelled.join(split, "key", "left_semi").select("node", "component").distinct().join(sets, "node"), "open")
+    def opened(found: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components."""
+        labelled = buckets.where("members > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return staged(labelled.join(split, "key", "left_semi"), "open")
+
+    # stars again, around a member of each open bucket's largest component: they merge most of what is left, with one pair a member
+    still = opened(found)
+    for turn in range(STARS):
+        parts = still.groupBy("key", "component").agg(F.count("*").alias("members"), F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("pivot"))
+        pivots = parts.groupBy("key").agg(F.max(F.struct("members", "component", "pivot")).alias("m")).select(
+            "key", F.col("m.component").alias("largest"), F.col("m.pivot.node").alias("pivot"), F.col("m.pivot.n").alias("pivot_n"))
+        star = (still.join(pivots, "key").where((F.col("component") != F.col("largest")) & alike("n", "pivot_n"))
+                .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+        links = staged(links.union(confirmed(staged(star, "pairs"), sets, percent)), "links")
+        found = components(links)
+        still = opened(found)
+    open_ = staged(still.select("node", "component").distinct().join(sets, "node"), "open")
     more = staged(confirmed(staged(across(open_, percent), "pairs"), sets, percent), "links")
     links = links.union(more)
     if by_id:
