@@ -80,3 +80,21 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after ``links`` (a, b; a written table) are added to those in ``found`` (node, component).
+
+    Only links between different components go through the rounds; without any, ``found`` stays as it is.
+    """
+    def name(side: str) -> DataFrame:
+        return found.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+
+    ends = links.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    between = staged(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "links")
+    if between.isEmpty():
+        return found
+    new = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(found, "node", "left_anti")
+    larger = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = found.unionByName(new.select("node", F.col("node").alias("component")))
+    return staged(known.join(larger, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "found")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.llm.common import fresh, staged
-from riskweave.llm.graph import components
+from riskweave.llm.graph import components, merged
 
 BLOCK = 1 << 20   # bytes of text hashed at a time
 ONE = np.uint64(1)
@@ -333,33 +333,35 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, by
     texts = _texts(docs).join(near.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = staged(shingle_sets(texts, size).join(near, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "shingles")
     links = staged(confirmed(pairs, sets, percent), "links")
-    found = components(links)
+    found = staged(components(links), "found")
 
-    def opened(found: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components."""
-        labelled = buckets.where("members > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    def opened(members: DataFrame, found: DataFrame) -> DataFrame:
+        """Those of ``members`` (key, node, n) whose bucket holds several components; what is in one component stays so."""
+        labelled = members.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         return staged(labelled.join(split, "key", "left_semi"), "open")
 
     # stars again, around a member of each open bucket's largest component: they merge most of what is left, with one pair a member
-    still = opened(found)
+    still = opened(buckets.where("members > 2"), found)
     for turn in range(STARS):
         parts = still.groupBy("key", "component").agg(F.count("*").alias("members"), F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("pivot"))
         pivots = parts.groupBy("key").agg(F.max(F.struct("members", "component", "pivot")).alias("m")).select(
             "key", F.col("m.component").alias("largest"), F.col("m.pivot.node").alias("pivot"), F.col("m.pivot.n").alias("pivot_n"))
         star = (still.join(pivots, "key").where((F.col("component") != F.col("largest")) & alike("n", "pivot_n"))
                 .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-        links = staged(links.union(confirmed(staged(star, "pairs"), sets, percent)), "links")
-        found = components(links)
-        still = opened(found)
-    open_ = staged(still.select("node", "component").distinct().join(sets, "node"), "open")
-    more = staged(confirmed(staged(across(open_, percent), "pairs"), sets, percent), "links")
-    links = links.union(more)
+        new = staged(confirmed(staged(star, "pairs"), sets, percent), "links")
+        if new.isEmpty():       # the join below settles what is left
+            break
+        found = merged(found, new)
+        still = opened(still, found)
+    if not still.isEmpty():
+        open_ = staged(still.select("node", "component").distinct().join(sets, "node"), "open")
+        found = merged(found, staged(confirmed(staged(across(open_, percent), "pairs"), sets, percent), "links"))
     if by_id:
         several = known.where("n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
         of_id = known.join(several, "doc_id", "left_semi").join(sets_known.select("digest", "node"), "digest").select("doc_id", "node")
-        links = links.union(of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
-    found = components(links)
+        same = of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+        found = merged(found, staged(same, "links"))
     named = sets_known.select("node", "digest", "doc_id").join(found, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("at"))
     names = named.groupBy("at").agg(F.min("doc_id").alias("component"))
     return made.select("doc_id", "n_shingles", "digest"), named.join(names, "at").select("digest", "doc_id", "component", "at")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from riskweave.llm import minhash as M
-from riskweave.llm.graph import components
+from riskweave.llm.graph import components, merged
 
 SPACE = "\t\n\x0b\x0c\r "
 
@@ -171,3 +171,13 @@ def test_components(spark, seed):
     want = {(x, find(x)) for x in parent if any(x in p and p[0] != p[1] for p in pairs)}
     got = components(spark.createDataFrame(pairs, "a long, b long").repartition(4))
     assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merged_equals_components_of_all_links(spark, seed):
+    """New links are added to known components: nodes known and new, links inside one component, no links at all."""
+    rng = np.random.default_rng(seed)
+    first, second = ([tuple(map(int, p)) for p in rng.integers(0, 60, (n, 2))] for n in (25, 0 if seed == 3 else 25))
+    table = lambda rows: spark.createDataFrame([(a, b) for a, b in rows if a != b], "a long, b long")
+    got = {tuple(r) for r in merged(components(table(first)), table(second)).select("node", "component").collect()}
+    assert got == {tuple(r) for r in components(table(first + second)).select("node", "component").collect()}
