@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns as C, fixed
-from riskweave.operators import agreement, boosting, cleaning, counterfactual, explain, folds, learners, scoring, search, stability
+from riskweave.operators import agreement, boosting, cleaning, counterfactual, explain, folds, learners, scoring, search, stability, stumps
 from riskweave.operators import harmonize, prepare
 from riskweave.plans import external as external_plan, nested, stability as stability_plan, train
 from riskweave.queries.base import (
@@ -574,3 +574,47 @@ def boost_level(spark, sf_dir):
     return best.where("gain IS NOT NULL").select(
         "model", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1).alias("feature"), cuts[F.col("feature")][F.col("bin")].alias("cut"),
         F.round("gain", 6).alias("gain"), value("gl", "hl").alias("value_left"), value("gr", "hr").alias("value_right"))
+
+
+# --- AdaBoost ------------------------------------------------------------------
+
+_VOTED = stumps.Stump(list(_BOOST_CUTS).index("oldpeak"), 1.0, -1, 1, 0.9)      # the vote that the round starts from
+_RATE = 0.7
+
+
+def _round_sql() -> str:
+    """The second stump of every fold's model: weights exp(-y m / 2) after one vote, least Gini impurity, then its error and weight."""
+    bins = ", ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE len(list_filter({cuts!r}, lambda c: c < {f})) END AS b{j}" for j, (f, cuts) in enumerate(_BOOST_CUTS.items()))
+    vote = f"CASE WHEN oldpeak > {_VOTED.threshold} THEN {_VOTED.weight}e0 ELSE -{_VOTED.weight}e0 END"
+    long = " UNION ALL ".join(f"SELECT fold, {j} AS feature, b{j} AS bin, y, w FROM binned" for j in range(len(_BOOST_CUTS)))
+    mixed = lambda a, b: f"CASE WHEN {a} + {b} > 0 THEN {a} * {b} / ({a} + {b}) ELSE 0e0 END"
+    cut = "CAST(CASE feature " + " ".join(f"WHEN {j} THEN ({cuts!r})[bin + 1]" for j, cuts in enumerate(_BOOST_CUTS.values())) + " END AS DOUBLE)"
+    return f"""WITH {FOLD_CTE},
+binned AS (SELECT fold, y_true AS y, exp(-0.5e0 * (2 * y_true - 1) * ({vote})) AS w, {bins} FROM folded),
+long AS ({long}),
+cells AS (SELECT m.model, feature, bin, sum(CASE WHEN y = 0 THEN w ELSE 0e0 END) AS w0, sum(CASE WHEN y = 1 THEN w ELSE 0e0 END) AS w1
+  FROM long, range({FOLDS}) m(model) WHERE fold <> m.model GROUP BY m.model, feature, bin),
+run AS (SELECT model, feature, bin, sum(w0) OVER w AS l0, sum(w1) OVER w AS l1, sum(w0) OVER a AS t0, sum(w1) OVER a AS t1, max(bin) OVER a AS last
+  FROM cells WINDOW w AS (PARTITION BY model, feature ORDER BY bin), a AS (PARTITION BY model, feature)),
+sides AS (SELECT *, t0 - l0 AS r0, t1 - l1 AS r1 FROM run WHERE bin < last),
+best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY model ORDER BY {mixed('l0', 'l1')} + {mixed('r0', 'r1')}, feature, bin) = 1),
+wrong AS (SELECT *, (least(l0, l1) + least(r0, r1)) / (t0 + t1) AS e FROM best)
+SELECT CAST(model AS INTEGER) AS model, ({list(_BOOST_CUTS)!r})[feature + 1] AS feature, {cut} AS cut, CAST(CASE WHEN l1 > l0 THEN 1 ELSE -1 END AS INTEGER) AS vote_left,
+  CAST(CASE WHEN r1 > r0 THEN 1 ELSE -1 END AS INTEGER) AS vote_right, round(e, 6) AS error, round({_RATE}e0 * ln((1 - e) / e), 6) AS weight FROM wrong"""
+
+
+@query("adaboost_round", _round_sql())
+def adaboost_round(spark, sf_dir):
+    """One round of all folds' AdaBoost models: class weights per bin after one vote, then the best stump, its error and weight."""
+    names, cuts = list(_BOOST_CUTS), list(_BOOST_CUTS.values())
+    df = folds.stratified(clean(spark, sf_dir).select("row_id", F.col("target").alias("y_true"), *names), "row_id", "y_true", FOLDS, SEED, "fold")
+    rows = stumps.prepared(df, names, cuts, "y_true", "fold")
+    specs = [stumps.Spec(k, 2, _RATE) for k in range(FOLDS)]
+    best = stumps.best_stumps(stumps.round_cells(rows, specs, [stumps.steps([_VOTED], cuts)] * FOLDS, cuts))
+    vote = lambda a, b: F.when(F.col(b) > F.col(a), 1).otherwise(-1)
+    error = (F.least("l0", "l1") + F.least("r0", "r1")) / (F.col("t0") + F.col("t1"))
+    edges = F.array(*[F.array(*[F.lit(c) for c in some]) for some in cuts])
+    return best.where("feature IS NOT NULL").select(
+        "model", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1).alias("feature"), edges[F.col("feature")][F.col("bin")].alias("cut"),
+        vote("l0", "l1").alias("vote_left"), vote("r0", "r1").alias("vote_right"), F.round(error, 6).alias("error"),
+        F.round(F.log((1 - error) / error) * _RATE, 6).alias("weight"))
