@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskweave.functions import columns as C, fixed
-from riskweave.operators import learners
+from riskweave.operators import boosting, learners
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 
@@ -57,76 +57,104 @@ def shapley(df: DataFrame, scorer: Scorer, features: list[str], reference: dict[
 
 # --- tree ensembles ----------------------------------------------------------
 
-def tree_paths(model: learners.TreeModel) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+def tree_paths(model: learners.TreeModel | boosting.Boosted) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """Leaves as (weighted value, [(feature, low, high, share)]).
 
     ``share`` is the part of training rows that follow the path at the splits on
-    that feature.  Size: trees times leaves, set by the model's parameters and
+    that feature; rows count by their hessian in boosted trees.  Size: trees times leaves, set by the model's parameters and
     independent of the data scored.  Values are probabilities for a forest and
     log-odds for boosted trees.
     """
-    forest = model.kind == "random_forest"
-    trees = list(model.model.trees)
-    scale = [1.0 / len(trees)] * len(trees) if forest else [2.0 * w for w in model.model.treeWeights]
     leaves = []
 
-    def walk(node, weight, path):
+    def narrowed(path, f, t, is_left, share):
+        lo, hi, r = path.get(f, (-math.inf, math.inf, 1.0))
+        return {**path, f: (lo, min(hi, t), r * share) if is_left else (max(lo, t), hi, r * share)}
+
+    def leaf(value, path):
+        leaves.append((value, [(f, lo, hi, r) for f, (lo, hi, r) in path.items()]))
+
+    def walk_forest(node, weight, path):
         if node.getClass().getSimpleName() != "InternalNode":
-            if forest:
-                stats = list(node.impurityStats().stats())
-                value = stats[1] / sum(stats) if sum(stats) else 0.0
-            else:
-                value = node.prediction()
-            leaves.append((weight * value, [(f, lo, hi, r) for f, (lo, hi, r) in path.items()]))
+            stats = list(node.impurityStats().stats())
+            leaf(weight * (stats[1] / sum(stats) if sum(stats) else 0.0), path)
             return
         split = node.split()
-        f, t = split.featureIndex(), split.threshold()
         here = float(node.impurityStats().count())
         for child, is_left in ((node.leftChild(), True), (node.rightChild(), False)):
-            lo, hi, r = path.get(f, (-math.inf, math.inf, 1.0))
-            r *= float(child.impurityStats().count()) / here
-            step = (lo, min(hi, t), r) if is_left else (max(lo, t), hi, r)
-            walk(child, weight, {**path, f: step})
+            share = float(child.impurityStats().count()) / here
+            walk_forest(child, weight, narrowed(path, split.featureIndex(), split.threshold(), is_left, share))
 
-    for tree, weight in zip(trees, scale):
-        walk(tree._call_java("rootNode"), weight, {})
+    def walk_boosted(tree, node, path):
+        if node not in tree.split:
+            leaf(tree.value[node], path)
+            return
+        f, cut = tree.split[node]
+        both = [tree.cover[2 * node + 1], tree.cover[2 * node + 2]]
+        for child, is_left, h in ((2 * node + 1, True, both[0]), (2 * node + 2, False, both[1])):
+            walk_boosted(tree, child, narrowed(path, f, model.cuts[f][cut], is_left, h / sum(both)))
+
+    if model.kind == "random_forest":
+        trees = list(model.model.trees)
+        for tree in trees:
+            walk_forest(tree._call_java("rootNode"), 1.0 / len(trees), {})
+    else:
+        for tree in model.trees:
+            walk_boosted(tree, 0, {})
     return leaves
 
 
-def tree_attribution(df: DataFrame, model: learners.TreeModel, keep: list[str]) -> DataFrame:
+def leaf_shares(path: list[tuple[int, float, float, float]], on: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1, one column per condition, for rows of satisfied conditions ``on``.
+
+    A condition's value is the sum over subset sizes of the polynomial that the other conditions span.
+    """
+    m = len(path)
+    out = np.zeros(on.shape)
+    for i in range(m):
+        poly = [np.ones(len(on))]
+        for j in range(m):
+            if j != i:
+                grown = [path[j][3] * c for c in poly] + [np.zeros(len(on))]
+                for s, c in enumerate(poly):
+                    grown[s + 1] = grown[s + 1] + on[:, j] * c
+                poly = grown
+        weight = sum(c * (math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m)) for s, c in enumerate(poly))
+        out[:, i] = (on[:, i] - path[i][3]) * weight
+    return out
+
+
+def tree_attribution(df: DataFrame, model: learners.TreeModel | boosting.Boosted, keep: list[str]) -> DataFrame:
     """Path-dependent Shapley values of a tree ensemble, one column per feature
     plus ``base``.
 
-    A leaf is a product of conditions, so its Shapley value has a closed form:
-    per feature, the sum over subset sizes of the polynomial that the other
-    conditions of the leaf span.  Rows are processed in Arrow batches, a leaf at
-    a time over the whole batch.
+    A leaf is a product of conditions, and its Shapley values depend on a row only by which
+    conditions the row satisfies.  A batch's rows are packed to one bit pattern per leaf, the
+    values are computed once per pattern that occurs, and looked up by pattern.
     """
-    names, leaves = list(model.names), tree_paths(model)
+    names, leaves, shares = list(model.names), tree_paths(model), leaf_shares
     assembled = learners.assemble(df, names).select(*keep, vector_to_array(learners.FEATURES).alias("__x"))
     base = sum(v * math.prod(r for *_, r in path) for v, path in leaves)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: list[dict[int, np.ndarray]] = [{} for _ in leaves]      # per leaf: pattern -> its values
         for pdf in batches:
             x = np.stack(pdf["__x"].to_numpy()) if len(pdf) else np.zeros((0, len(names)))
             phi = np.zeros((len(pdf), len(names)))
-            for value, path in leaves:
-                m = len(path)
-                on = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path]
-                for i, (f, _, _, share) in enumerate(path):
-                    poly = [np.ones(len(pdf))]
-                    for j in range(m):
-                        if j != i:
-                            r = path[j][3]
-                            grown = [r * c for c in poly] + [np.zeros(len(pdf))]
-                            for s, c in enumerate(poly):
-                                grown[s + 1] = grown[s + 1] + on[j] * c
-                            poly = grown
-                    weight = sum(
-                        c * (math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m))
-                        for s, c in enumerate(poly)
-                    )
-                    phi[:, f] += value * (on[i] - share) * weight
+            for (value, path), table in zip(leaves, known):
+                if not path:
+                    continue
+                pattern = np.zeros(len(pdf), np.int64)
+                for i, (f, lo, hi, _) in enumerate(path):
+                    pattern |= ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << i
+                found, place = np.unique(pattern, return_inverse=True)
+                if len(table) > 4096:       # only a memo: what is dropped is computed again
+                    table.clear()
+                new = np.array([p for p in found.tolist() if p not in table], np.int64)
+                if len(new):
+                    on = (new[:, None] >> np.arange(len(path)) & 1).astype(float)
+                    table.update(zip(new.tolist(), value * shares(path, on)))
+                phi[:, [f for f, *_ in path]] += np.stack([table[p] for p in found.tolist()])[place] if len(found) else 0.0
             out = pdf[keep].copy()
             out["base"] = base
             for j, n in enumerate(names):

@@ -60,15 +60,16 @@ def test_shapley_of_fourteen_features_equals_enumeration(spark):
     assert [r[n] for n in names] == pytest.approx([want.get(n, 0.0) for n in names]) and r.base == 0.0
 
 
-def conditional(node, x, known):
-    """Expected value of a tree when only the known features are followed."""
-    if node.getClass().getSimpleName() != "InternalNode":
-        return node.prediction()
-    split, left, right = node.split(), node.leftChild(), node.rightChild()
-    if split.featureIndex() in known:
-        return conditional(left if x[split.featureIndex()] <= split.threshold() else right, x, known)
-    n, m = left.impurityStats().count(), right.impurityStats().count()
-    return (n * conditional(left, x, known) + m * conditional(right, x, known)) / (n + m)
+def conditional(tree, cuts, x, known, node=0):
+    """Expected value of a boosted tree when only the known features are followed."""
+    if node not in tree.split:
+        return tree.value[node]
+    f, cut = tree.split[node]
+    left, right = 2 * node + 1, 2 * node + 2
+    if f in known:
+        return conditional(tree, cuts, x, known, left if x[f] <= cuts[f][cut] else right)
+    n, m = tree.cover[left], tree.cover[right]
+    return (n * conditional(tree, cuts, x, known, left) + m * conditional(tree, cuts, x, known, right)) / (n + m)
 
 
 @pytest.mark.parametrize("kind", ["xgboost", "random_forest"])
@@ -82,10 +83,9 @@ def test_tree_attribution_equals_enumeration(rows, kind):
         assert total == pytest.approx(math.log(r.p / (1 - r.p)) if kind == "xgboost" else r.p)
     if kind == "xgboost":
         inputs = {x.row_id: [x[n] for n in NAMES] for x in rows.collect()}
-        trees = [(t._call_java("rootNode"), 2.0 * w) for t, w in zip(model.model.trees, model.model.treeWeights)]
         for r in out[:5]:
             x = inputs[r.row_id]
-            want = subset_shapley(lambda s: sum(w * conditional(t, x, s) for t, w in trees), 3)
+            want = subset_shapley(lambda s: sum(conditional(t, model.cuts, x, s) for t in model.trees), 3)
             assert [r[n] for n in NAMES] == pytest.approx(want)
 
 
