@@ -222,3 +222,30 @@ def test_rule_feature(spark):
 def test_uniforms_are_stable_and_even(spark):
     u = np.array([r.u for r in spark.range(2000).select(C.unit_uniform("id", F.lit(7)).alias("u")).collect()])
     assert 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.03
+
+
+def test_surrogate_inverts_per_pattern_and_not_per_row(monkeypatch):
+    rng, d, k = np.random.default_rng(5), 4, 2
+    z = (rng.random((3, 40, d)) < 0.4).astype(float)
+    z[2, :, 1] = z[2, :, 0]                                         # two features that always go together
+    w, p = rng.random((3, 40)), rng.random((3, 40))
+    upper = np.triu_indices(d)
+    sums = np.stack([np.concatenate([[w[i].sum(), w[i] @ p[i]], w[i] @ z[i], (w[i] * p[i]) @ z[i], ((z[i] * w[i][:, None]).T @ z[i])[upper]]) for i in range(3)])
+    place, own = rng.integers(0, 3, 5000), rng.random(5000)
+    inverted, plain = [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda a, **how: inverted.append(len(a)) or plain(a, **how))
+    found = explain.ridge_weights(sums, place, own, d, k, 1.0)
+    assert sum(inverted) <= 3 * d + 3 * d * d                        # per step: patterns times features used times features
+    for n in range(0, 5000, 250):
+        i = place[n]
+        zs, ws, ps = np.vstack([np.ones(d), z[i]]), np.append(1.0, w[i]), np.append(own[n], p[i])
+        zc, pc = zs - ws @ zs / ws.sum(), ps - ws @ ps / ws.sum()
+        a, b, used = (zc * ws[:, None]).T @ zc, (zc * ws[:, None]).T @ pc, []
+        for _ in range(k):
+            gain = {j: b[[*used, j]] @ np.linalg.lstsq(a[np.ix_([*used, j], [*used, j])], b[[*used, j]], rcond=1e-12)[0] for j in range(d) if j not in used}
+            used.append(max(gain, key=gain.get))
+        if i == 2 and {0, 1} & set(used):
+            continue                                                # equal gains: either of the two
+        want = np.zeros(d)
+        want[sorted(used)] = np.linalg.solve(a[np.ix_(sorted(used), sorted(used))] + np.eye(k), b[sorted(used)])
+        assert np.allclose(found[n], want)
