@@ -6,6 +6,7 @@ present, so every numeric entry point below turns NaN into NULL first.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -29,15 +30,19 @@ def drop_nan(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def to_number(c) -> Column:
-    """Tolerant text-to-double: text that is no number becomes NULL.
+def to_number(c, token: str | None = None) -> Column:
+    """Tolerant text-to-double: text that is no number becomes NULL, and so does ``token``.
 
     The JVM number parser also takes Java literals such as ``1.5d``; those are
-    not numbers in a data file, hence the guard.
+    not numbers in a data file, hence the guard.  It is one pattern over the untrimmed
+    text (the cast trims), so that the generated code names a column twice only: with
+    each step nested in the next, a scan of 14 columns was too long to be compiled.
     """
-    text = F.trim(as_column(c))
-    literal = text.rlike("(?i)^[+-]?0x|[0-9.][df]$")
-    return drop_nan(F.when(~literal, text.try_cast("double")))
+    text = as_column(c)
+    literal = r"^ *[+-]?0[xX]|[0-9.][dDfF](?:\r\n|[\n\r\u0085\u2028\u2029])? *\z|[nN][aA][nN]"
+    if token is not None:
+        literal += "|^ *" + re.escape(token) + r" *\z"
+    return F.when(~text.rlike(literal), text.try_cast("double"))
 
 
 def zero_to_missing(value, site, trusted: str = fixed.TRUSTED_SITE) -> Column:

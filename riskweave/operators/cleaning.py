@@ -20,7 +20,7 @@ def numeric(df: DataFrame, names: list[str]) -> DataFrame:
 
     def convert(name: str):
         if isinstance(types[name], T.StringType):
-            return C.to_number(C.drop_token(name))
+            return C.to_number(name, fixed.MISSING_TOKEN)
         if isinstance(types[name], _FLOATING):
             return C.drop_nan(F.col(name).cast("double"))
         return F.col(name).cast("double")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,24 @@ def test_bad_numbers_become_null(spark):
         1.5, 2.0, None, None, None, None, None, None, 1000.0, -4.0, None, None]
 
 
+def test_number_texts_at_the_edges(spark):
+    texts = ["1.5d ", " 1.5D", "1.5d\n", "1.5d \n", "1.5d\t", "-nan", "+NaN", "inf", " -Infinity ", "\t7\n", "+0X1p3", "  ?  ", "??", ".5f\r\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string")
+    old = F.trim(C.drop_token("c"))  # the definition, step by step
+    old = C.drop_nan(F.when(~old.rlike("(?i)^[+-]?0x|[0-9.][df]$"), old.try_cast("double")))
+    rows = df.select("c", old.alias("old"), C.to_number("c", "?").alias("new"), C.to_number(C.drop_token("c")).alias("apart")).collect()
+    assert [(r.c, r.new, r.apart) for r in rows] == [(r.c, r.old, r.old) for r in rows]
+    assert [r.new for r in rows][:4] == [None, None, None, 1.5]
+
+
+def test_generated_code_of_a_site_scan_can_be_compiled(spark, tmp_path, capsys):
+    """The JVM never compiles a method of more than 8,000 bytes."""
+    (tmp_path / "a.csv").write_text(",".join(fixed.COHORT_COLUMNS) + "\n63,1,1,145,0,1,2,150,0,2.3,3,?,6,2\n")
+    sites.read_sites(spark, {s: str(tmp_path / "a.csv") for s in fixed.SITES}).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) == len(fixed.SITES) and max(sizes) < 8000
+
+
 def test_missing_target_is_zero(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (0.0,), (3.0,)], "t double")
     assert column(df.select(C.binarize("t").alias("t")), "t") == [0, 0, 0, 1]
