@@ -2,8 +2,9 @@
 
 All rows run through one pipeline: the grid is exploded from a sequence next to
 its row (never joined), scored in bulk by any scorer, and reduced to the first
-flipping step per feature before the only shuffle, on ``row_id``.  The two-feature
-stage and the final choice group by ``row_id`` again and reuse that partitioning.
+flipping step per feature.  The only shuffle deals the rows out by ``row_id``, a
+bounded number to each task; both stages and the final choice group by ``row_id``
+and reuse that partitioning, so a task's memory does not grow with the table.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskweave.functions import columns as C, fixed
+from riskweave.session import enough_tasks
 
 # adds the named probability column to a table of raw features, keeping the rest
 Scorer = Callable[[DataFrame, str], DataFrame]
 
+#: Rows of a task: the two-feature stage holds a group per first step of each pair, some 4 kB a row.
+ROWS_PER_TASK = 30_000
+
 
 def candidates(df: DataFrame, score: str, row_id: str = "row_id", low: float = fixed.CANDIDATE_RANGE[0],
                high: float = fixed.CANDIDATE_RANGE[1], count: int = fixed.CANDIDATE_COUNT,
@@ -49,7 +54,8 @@ def _moved(features: list[str], which: Column, step: Column, n_steps: int) -> di
 
 def find(df: DataFrame, scorer: Scorer, row_id: str = "row_id", inputs: list[str] = fixed.FEATURE_COLUMNS,
          features: list[str] = tuple(fixed.ACTIONABLE), threshold: float = fixed.DECISION_THRESHOLD,
-         steps: int = fixed.SINGLE_STEPS, dual_steps: int = fixed.DUAL_STEPS) -> DataFrame:
+         steps: int = fixed.SINGLE_STEPS, dual_steps: int = fixed.DUAL_STEPS,
+         rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """One row per input row: initial score, whether it flips, and how.
 
     Per feature the first flipping step counts, and the smallest relative change
@@ -59,7 +65,8 @@ def find(df: DataFrame, scorer: Scorer, row_id: str = "row_id", inputs: list[str
     """
     features = list(features)
     inputs = [c for c in inputs if c in df.columns]
-    base = scorer(df.select(row_id, *inputs), "initial_prob")
+    dealt = df.select(row_id, *inputs).repartition(enough_tasks(df, rows_per_task), row_id)
+    base = scorer(dealt, "initial_prob")
     single = _single_stage(base, scorer, row_id, inputs, features, threshold, steps)
     dual = _dual_stage(single, scorer, row_id, inputs, features, threshold, dual_steps)
     return _final(dual, scorer, row_id, inputs, features, threshold, steps, dual_steps)

@@ -60,6 +60,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(spark.sparkContext.defaultParallelism)
 
 
+def enough_tasks(df: DataFrame, rows_per_task: int) -> int:
+    """As many tasks as keep the rows of each bounded, whatever the number of shuffle partitions; one per core at least.
+
+    Counting reads no columns.  Asked for by number, the tasks are not merged again.
+    """
+    return max(2, df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
