@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskweave.functions import columns as C, fixed
 from riskweave.operators import metrics, ranks
+from riskweave.session import enough_tasks
+
+#: Scored rows of a range of scores; each is there once per dimension.
+ROWS_PER_TASK = 50_000
 
 ALL_COLUMNS = [
     "sample_size", "disease_prevalence", "accuracy", "recall", "precision", "specificity", "f1_score", "roc_auc",
@@ -35,24 +39,30 @@ def subgroups(df: DataFrame, group: str, keys: list[str] = (), label: str = "y_t
 
 
 def breakdown(df: DataFrame, dimensions: list[str] = None, keys: list[str] = (), label: str = "y_true",
-              pred: str = "y_pred", score: str = "y_prob") -> DataFrame:
+              pred: str = "y_pred", score: str = "y_prob", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Metrics over sex, age band and (if present) site in one plan.
 
-    The scored rows are first reduced to counts per (dimensions, label,
-    prediction, score); only those counts are then spread over the dimensions,
-    weighted, so the expansion never touches the raw rows.
+    The scored rows are first reduced to confusion counts per (dimensions, score).
+    Those counts are dealt out by ranges of the score, a bounded number of rows to
+    each task, and spread over the dimensions there: sums and running totals of a
+    range need no other task, and only one row per subgroup and range leaves it.
     """
     if dimensions is None:
         dimensions = ["sex_label", "age_band"] + ([fixed.SITE] if fixed.SITE in df.columns else [])
-    keys = list(keys)
-    counts = df.groupBy(*keys, *dimensions, label, pred, score).agg(F.count(F.lit(1)).alias("__n"))
+    keys, cells = list(keys), ["tn", "fp", "fn", "tp"]
+    # rows without a label, prediction or score are left out by their count: as a filter, the
+    # test would be moved to the scan, with the score's whole expression once more for each mention
+    counts = metrics.confusion(df, [*keys, *dimensions, score], label, pred, present=[label, pred, score])
+    counts = counts.where(F.col("n_present") > 0).drop("n_present")
+    # cut points from the rows themselves: the expansion has the same scores
+    tasks = enough_tasks(df, rows_per_task)
+    ranges = ranks.bucketed(counts, score, ranks.cut_points(df, score, tasks)).repartition(tasks, ranks.BUCKET)
     parts = ", ".join(f"'{d}', cast(`{d}` as string)" for d in dimensions)
-    spread = counts.select(
-        *keys, label, pred, score, "__n",
+    spread = ranges.select(
+        *keys, score, ranks.BUCKET, *cells,
         F.expr(f"stack({len(dimensions)}, {parts}) as (dimension, subgroup)"),
     ).where(F.col("subgroup").isNotNull())
     out_keys = [*keys, "dimension", "subgroup"]
-    # cut points from the rows themselves: the expansion has the same scores
-    cuts = ranks.cut_points(df, score)
-    measured = metrics.extended(spread, out_keys, label, pred, score, cuts, weight="__n")
+    spread = spread.groupBy(*out_keys, ranks.BUCKET, score).agg(*[F.sum(c).alias(c) for c in cells])
+    measured = metrics.by_ranges(spread, out_keys, score)
     return _shape(measured, out_keys).withColumn("caveat", F.lit(fixed.SUBGROUP_CAVEAT))

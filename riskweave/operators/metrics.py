@@ -3,17 +3,20 @@ per subgroup and overall are the same code."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from riskweave.functions import columns as C
 from riskweave.operators import ranks
 
 
 def confusion(df: DataFrame, keys: list[str] = (), label: str = "y_true", pred: str = "y_pred",
-              weight: str | None = None) -> DataFrame:
+              weight: str | None = None, present: list[str] = ()) -> DataFrame:
     """tn, fp, fn, tp in one pass; always all four, also when a class is absent.
 
-    ``weight`` is a row count for tables that were already reduced.
+    ``weight`` is a row count for tables that were already reduced.  ``present`` adds
+    ``n_present``, the rows in which none of these columns is missing.
     """
     times = F.lit(1) if weight is None else F.col(weight)
 
@@ -21,8 +24,13 @@ def confusion(df: DataFrame, keys: list[str] = (), label: str = "y_true", pred:
         hit = (F.col(label) == y) & (F.col(pred) == p)
         return F.sum(F.when(hit, times).otherwise(0)).cast("long")
 
+    counted = []
+    if present:
+        floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+        there = [F.col(c).isNotNull() & ~F.isnan(c) if c in floating else F.col(c).isNotNull() for c in present]
+        counted = [F.count_if(reduce(lambda a, b: a & b, there)).alias("n_present")]
     return df.groupBy(*keys).agg(
-        cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
+        cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"), *counted
     )
 
 
@@ -122,6 +130,29 @@ def extended(df: DataFrame, keys: list[str] = (), label: str = "y_true", pred: s
     ).drop("__u", "__a")
 
 
+def by_ranges(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Rates and ROC-AUC from confusion counts per (keys, range of scores, score), ranges in ``ranks.BUCKET``.
+
+    A range is summed up where it lies: what its positives gain from the negatives
+    of the ranges below is their number times a sum, so only one row per key and
+    range is shuffled, and nothing is joined back.
+    """
+    keys, cells = list(keys), ["tn", "fp", "fn", "tp"]
+    inside = W.partitionBy(*keys, ranks.BUCKET).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    below = W.partitionBy(*keys).orderBy(ranks.BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    pos, neg = F.col("fn") + F.col("tp"), F.col("tn") + F.col("fp")
+    local = counts.withColumn("__below", F.coalesce(F.sum(neg).over(inside), F.lit(0)))
+    ranges = local.groupBy(*keys, ranks.BUCKET).agg(
+        *[F.sum(c).alias(c) for c in cells],
+        F.sum(pos.cast("double") * (F.col("__below").cast("double") + neg.cast("double") / 2.0)).alias("__u"),
+    ).withColumn("__below", F.coalesce(F.sum(neg).over(below), F.lit(0)))
+    summed = ranges.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in cells],
+        F.sum(F.col("__u") + pos.cast("double") * F.col("__below").cast("double")).alias("__u"),
+    )
+    return rates(summed).withColumn("roc_auc", _rank_values(pos, neg)["roc_auc"]).drop("__u")
+
+
 def fold_summary(per_fold: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Mean and population standard deviation of each metric over folds."""
     aggs = []

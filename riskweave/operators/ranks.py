@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-_BUCKET = "__bucket"
+BUCKET = "__bucket"
 
 
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -31,12 +31,12 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
 
 def bucketed(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
     if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0))
+        return df.withColumn(BUCKET, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=value, outputCol=_BUCKET, handleInvalid="keep").transform(df)
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol=BUCKET, handleInvalid="keep").transform(df)
     # never NULL: a join on it must not send a filter on the score's whole expression
     # down one of its two inputs, which would also keep them from sharing a shuffle
-    return cut.withColumn(_BUCKET, F.coalesce(F.col(_BUCKET).cast("int"), F.lit(-1)))
+    return cut.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(-1)))
 
 
 def running_totals(counts: DataFrame, keys: list[str], value: str, measures: list[str],
@@ -51,18 +51,18 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, measures: lis
     stand_ins = _never_null(counts, keys)
     rows = bucketed(counts, value, cuts).withColumns(stand_ins)
     names = list(stand_ins)
-    sizes = rows.groupBy(*names, _BUCKET).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
+    sizes = rows.groupBy(*names, BUCKET).agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
     # at most len(cuts) + 1 rows per key reach these two windows
-    before = W.partitionBy(*names).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*names).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*names)
     offsets = sizes.select(
-        *names, _BUCKET,
+        *names, BUCKET,
         *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
         *[F.sum(f"__s_{m}").over(whole).alias(f"total_{m}") for m in measures],
     )
-    inside = W.partitionBy(*names, _BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*names, BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumns({f"__l_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    return local.join(offsets, [*names, _BUCKET]).select(
+    return local.join(offsets, [*names, BUCKET]).select(
         *counts.columns,
         *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"below_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures],
@@ -113,10 +113,10 @@ def hash_order(df: DataFrame, strata: list[str], row_id: str, seed: int, out: st
         buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed)))))
     stand_ins = _never_null(df, strata)
-    hashed = hashed.withColumns({_BUCKET: F.coalesce(F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32), F.lit(-1)), **stand_ins})
-    on = [*stand_ins, _BUCKET]
+    hashed = hashed.withColumns({BUCKET: F.coalesce(F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32), F.lit(-1)), **stand_ins})
+    on = [*stand_ins, BUCKET]
     sizes = hashed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*stand_ins).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*stand_ins).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*on, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     inside = W.partitionBy(*on).orderBy("__h", row_id)
     ranked = hashed.withColumn("__l", F.row_number().over(inside) - 1)

@@ -141,6 +141,16 @@ def test_subgroups_sum_and_order(spark):
     assert [r.dimension for r in fairness.breakdown(df.drop("source_site")).select("dimension").distinct().orderBy("dimension").collect()] == ["age_band", "sex_label"]
 
 
+def test_breakdown_leaves_out_rows_without_label_prediction_or_score(spark):
+    nan = float("nan")
+    rows = [("a", "x", 1, 1, .9), ("a", "x", 0, 0, .2), ("a", None, 1, 0, .4), (None, "x", 0, 1, .6), ("b", "x", 1, 1, .6),
+            ("c", "x", None, 1, .9), ("c", "y", 1, None, .9), ("c", "y", 1, 1, None), ("c", "y", 1, 1, nan), ("a", "x", 0, 1, .9)]
+    df = spark.createDataFrame(rows, "sex_label string, age_band string, y_true int, y_pred int, y_prob double")
+    for n in (1, 100):
+        out = {(r.dimension, r.subgroup): (r.sample_size, r.roc_auc) for r in fairness.breakdown(df, rows_per_task=n).collect()}
+        assert out == {("sex_label", "a"): (4, 0.625), ("sex_label", "b"): (1, None), ("age_band", "x"): (5, pytest.approx(4 / 6))}
+
+
 def test_histogram_shows_empty_bins(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 0.05), ("b", None)], "k string, v double")
     got = {(r.k, r.bin): r.n for r in metrics.histogram(df, "v", 4, ["k"]).collect()}

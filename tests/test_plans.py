@@ -59,6 +59,36 @@ def test_fairness_reads_the_table_once(spark):
     assert plan(df).count("FileScan") == 1
 
 
+def test_counterfactual_tasks_hold_a_bounded_number_of_rows(spark, ten_rows):
+    """The shuffle is asked for by number: more rows make more tasks, whatever the number of shuffle partitions."""
+    df = ten_rows.drop("target")
+    few, many = (counterfactual.find(df, _cf_score, rows_per_task=n) for n in (1000, 1))
+    assert "hashpartitioning(row_id#" in plan(many) and ", 10), REPARTITION_BY_NUM" in plan(many)
+    assert ", 4), REPARTITION_BY_NUM" in plan(few)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_fairness_ranges_hold_a_bounded_number_of_rows(spark):
+    df = fairness.with_groups(base.scored(spark, SF)).select("sex_label", "age_band", "source_site", "y_true", "y_pred", "ensemble")
+    few, many = (fairness.breakdown(df, score="ensemble", rows_per_task=n) for n in (10**9, 100))
+    tasks = -(-df.count() // 100)
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan(many) and "Join" not in plan(many)
+    measured = lambda d: {(r.dimension, r.subgroup): [r[c] for c in fairness.ALL_COLUMNS] for r in d.collect()}
+    a, b = measured(few), measured(many)
+    assert len(a) > 5 and set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_fairness_code_of_the_scan_can_be_compiled(spark, capsys):
+    """The JVM never compiles a method of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before a run
+    try:
+        fairness.breakdown(fairness.with_groups(base.scored(spark, SF)), score="ensemble").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_folds_read_the_ids_twice_at_most(spark):
     df = catalog.QUERIES["stratified_folds"](spark, SF)
     df.collect()
