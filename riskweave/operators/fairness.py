@@ -56,7 +56,7 @@ def breakdown(df: DataFrame, dimensions: list[str] = None, keys: list[str] = (),
     counts = counts.where(F.col("n_present") > 0).drop("n_present")
     # cut points from the rows themselves: the expansion has the same scores
     tasks = enough_tasks(df, rows_per_task)
-    ranges = ranks.bucketed(counts, score, ranks.cut_points(df, score, tasks)).repartition(tasks, ranks.BUCKET)
+    ranges = ranks.bucketed(counts, score, ranks.cut_points(df, score, tasks)).repartitionById(tasks, ranks.BUCKET)
     parts = ", ".join(f"'{d}', cast(`{d}` as string)" for d in dimensions)
     spread = ranges.select(
         *keys, score, ranks.BUCKET, *cells,
