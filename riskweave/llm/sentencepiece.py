@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are cut where no piece holds the two characters in a row; such parts ("atoms": words,
-and the punctuation between them) can be encoded apart.  The distinct atoms of a chunk of documents are exploded into their
+and the punctuation between them) can be encoded apart.  The distinct atoms are exploded into their
 substrings of bounded length and joined to the piece table; that gives the edges of a
 lattice, grouped by atom.  A higher-order fold over an atom's edges picks its pieces,
 and leaves them as one long whose set bits are the boundaries:
@@ -11,9 +11,9 @@ and leaves them as one long whose set bits are the boundaries:
   there by then.  Viterbi would maximise the sum of scores, which is not what a BPE
   model encodes.
 
-A chunk has about ``chunk_bytes`` of text.  Its texts travel compressed and are put
-together from its own atoms, so no vocabulary is held whole anywhere.  Everything
-between the exchange of a chunk's atoms and the assembly of its texts stays in place.
+A chunk has about ``chunk_bytes`` of text.  It sends its own distinct atoms to their buckets, one string each, where an
+atom that many chunks hold is solved once, and gets their ids back in that order.  Its texts travel compressed and are put
+together from its own atoms, so no vocabulary is held whole anywhere.
 """
 
 from __future__ import annotations
@@ -235,25 +235,33 @@ class Assembler:
         return cuts[::-1]
 
 
-def read_back(ids: bytes, texts: list[bytes]) -> str:
-    return b"".join([texts[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "replace").removeprefix(" ")
+def read_back(ids: bytes, texts: np.ndarray) -> str:
+    return b"".join(texts[np.frombuffer(ids, "<i4")].tolist()).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 4 << 20, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes: int = 4 << 20, buckets: int = 128, decoded: bool = False) -> DataFrame:
     """Per row: doc_id, text, ids (little-endian int32); with ``decoded`` also what the ids decode to, in the same pass.
 
     NULL and empty texts have no ids; repeated rows are encoded each.
 
     A text is never divided: one beyond ``chunk_bytes`` is a chunk of its own.  Columns
-    other than doc_id and text are not read.  ``docs`` is read twice, for atoms and for texts; where
-    its rows come in another order the second time, atoms that a chunk then lacks are merged in
-    place, with the same ids.
+    other than doc_id and text are not read.  An atom belongs to one of ``buckets`` by its digest, where
+    the chunks' atoms meet; a bucket's distinct atoms are in one task at a time.  ``docs`` is read twice, for atoms and for
+    texts; where its rows come in another order the second time, what a chunk then lacks is merged in place, with the same ids.
     """
     import re
+    from itertools import chain
+    from zlib import crc32
+
+    import pyarrow.compute as pc
 
     inside = follows(pieces)
-    pattern = re.compile(atom_pattern(inside))
+    shape = atom_pattern(inside)
+    pattern, apart = re.compile(shape), f"|[{MARK}]+)" not in shape
+    ids_type = "<u2" if max(pieces.byte0 + 255, pieces.unknown, *(i for _, i, _ in pieces.rows)) < 65536 else "<i4"
     texts_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    sent_schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("atoms", pa.string())])
+    solved_schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("digest", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
     def chunks(batches):
         from pyspark import TaskContext
@@ -277,36 +285,91 @@ def encode(docs: DataFrame, pieces: Pieces, *, model: str = "bpe", chunk_bytes:
                 writer.write_batch(as_batch(rows, texts_schema))
             yield pa.RecordBatch.from_pydict({"of": pa.array([chunk], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
+    def single(text: str) -> bool:
+        """Is every mark of the marked text alone?  Then its atoms are those of its words, each with its mark."""
+        return apart and text[0] != " " and "  " not in text and MARK not in text
+
+    def parts_of(marked_text: str) -> list[str]:
+        found = pattern.findall(marked_text)
+        return found if len(marked_text) <= WIDTH else [p for a in found for p in cut(a, inside)]
+
+    def divided(texts: list) -> tuple[list[list[str]], np.ndarray, list[list[str]], list[list[str]]]:
+        """Texts in parts: those of the distinct words of single texts, and the codes of all their words; those of each
+        other text; and the distinct ones that can have a mask, by bucket."""
+        words = pc.split_pattern(pa.array([t for t in texts if t and single(t)], pa.string()), " ").flatten().dictionary_encode()
+        of_words = [parts_of(w) for w in pc.binary_join_element_wise(pa.scalar(MARK), words.dictionary, "").to_pylist()]
+        others = [parts_of(marked(t)) for t in texts if t and not single(t)]
+        out = [[] for _ in range(buckets)]
+        for p in dict.fromkeys(chain.from_iterable(of_words + others)):
+            if shortest <= len(p) <= WIDTH and p != "\n":
+                out[crc32(p.encode()) % buckets].append(p)
+        return of_words, words.indices.to_numpy(), others, out
+
     def distinct(batches):
         for chunk, rows in chunks(batches):
-            words = set()
-            for _, text in rows:
-                words.update(pattern.findall(marked(text or "")))
-            atoms = {w for w in words if len(w) <= WIDTH}.union(*(cut(w, inside) for w in words if len(w) > WIDTH)) - {"\n"}
-            atoms = sorted(a for a in atoms if len(a) <= WIDTH and (len(a) > 1 or model != "bpe"))
-            if atoms:
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "atoms": pa.array(["\n".join(atoms)], pa.string())})
+            if sent := [(chunk, k, "\n".join(some)) for k, some in enumerate(divided([t for _, t in rows])[-1]) if some]:
+                yield as_batch(sent, sent_schema)
 
+    shortest = 2 if model == "bpe" else 1
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    atoms = (rows.mapInArrow(distinct, "chunk long, atoms string").repartition("chunk")
-             .select("chunk", F.explode(F.split("atoms", "\n")).alias("atom")))
+    sent = rows.mapInArrow(distinct, "chunk long, bucket int, atoms string").repartition(buckets, "bucket")
+    # an atom's first chunk goes along, so that both uses of ``sent`` read the same columns and share its exchange
+    atoms = (sent.select(F.col("bucket").alias("home"), F.explode(F.split("atoms", "\n")).alias("atom"), F.col("chunk").alias("since"))
+             .groupBy("home", "atom").agg(F.min("since").alias("since")))
     known = boundaries(atoms, pieces) if model == "bpe" else best_boundaries(atoms, pieces)
-    model_pieces = Pieces(pieces.rows, pieces.byte0, pieces.unknown, pieces.texts if decoded else [])
+    plain_pieces, texts_of = Pieces(pieces.rows, pieces.byte0, pieces.unknown, []), pieces.texts if decoded else []
+    workers: list[Assembler] = []       # one in a task
+
+    def assembler() -> Assembler:
+        if not workers:
+            workers.append(Assembler(plain_pieces, inside, model))
+        return workers[0]
+
+    def solved(sent: pa.Table, found: pa.Table) -> pa.Table:
+        masks, worker, out = dict(zip(found.column("atom").to_pylist(), found.column("mask").to_pylist())), assembler(), []
+        coded = Cache(lambda a: worker.atom(a, masks))
+        for chunk, bucket, some in zip(*(sent.column(c).to_pylist() for c in ("chunk", "bucket", "atoms"))):
+            ids = [coded[a] for a in some.split("\n")]
+            # at most four ids a character, so a size fits a byte
+            out.append((chunk, bucket, crc32(some.encode()), bytes([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<i4").astype(ids_type).tobytes()))
+        return pa.Table.from_batches([as_batch(out, solved_schema)])
+
     columns = {"doc_id": pa.int64(), "text": pa.string(), "ids": pa.binary(), **({"decoded": pa.string()} if decoded else {})}
 
     def assembled(texts: pa.Table, found: pa.Table) -> pa.Table:
-        masks = dict(zip(found.column("atom").to_pylist(), found.column("mask").to_pylist()))
-        worker = Assembler(model_pieces, inside, model)
-        atoms = Cache(lambda a: b"".join([worker.atom(part, masks) for part in cut(a, inside)]))
-        out = []
+        got = {row[0]: row[1:] for row in zip(*(found.column(c).to_pylist() for c in ("bucket", "digest", "sizes", "ids")))}
+        worker, out, meant = assembler(), [], np.array(texts_of, object)
         for blob in texts.column("texts").to_pylist():
             for batch in pa.ipc.open_stream(blob):
-                coded = [b"".join([atoms[a] for a in pattern.findall(marked(t or ""))]) for t in batch.column(1).to_pylist()]
-                more = {"decoded": pa.array([read_back(ids, model_pieces.texts) for ids in coded], pa.string())} if decoded else {}
+                these, known = batch.column(1).to_pylist(), {}
+                of_words, codes, others, sent = divided(these)
+                for k, some in enumerate(sent):
+                    digest, sizes, ids = got.get(k, (None, b"", b""))
+                    if some and digest == crc32("\n".join(some).encode()):
+                        ends, ids = (4 * np.cumsum(np.frombuffer(sizes, "u1"), dtype=np.int64)).tolist(), np.frombuffer(ids, ids_type).astype("<i4").tobytes()
+                        known.update(zip(some, [ids[i:j] for i, j in zip([0, *ends], ends)]))
+                part = Cache(lambda p: worker.atom(p, {}))
+                each = [b"".join([known[p] if p in known else part[p] for p in parts]) for parts in of_words]
+                # the words' ids one after the other, as the codes say
+                size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+                many = size[codes]
+                ends = np.cumsum(many)
+                places = np.repeat((np.cumsum(size) - size)[codes] - ends + many, many) + np.arange(int(many.sum()))
+                flat, at, coded = np.frombuffer(b"".join(each), "<i4")[places].tobytes(), 0, []
+                stops, others = np.concatenate([[0], 4 * ends]).tolist(), iter(others)
+                for t in these:
+                    if t and single(t):
+                        upto = at + t.count(" ") + 1
+                        coded.append(flat[stops[at]:stops[upto]])
+                        at = upto
+                    else:
+                        coded.append(b"".join([known[p] if p in known else part[p] for p in next(others)]) if t else b"")
+                more = {"decoded": pa.array([read_back(ids, meant) for ids in coded], pa.string())} if decoded else {}
                 out.append(pa.table({"doc_id": batch.column(0), "text": batch.column(1), "ids": pa.array(coded, pa.binary()), **more}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in columns.items()})
 
-    return (rows.mapInArrow(packed, "of long, texts binary").groupBy("of").cogroup(known.groupBy("chunk"))
+    parts = sent.groupBy("bucket").cogroup(known.groupBy("home")).applyInArrow(solved, "chunk long, bucket int, digest long, sizes binary, ids binary")
+    return (rows.mapInArrow(packed, "of long, texts binary").groupBy("of").cogroup(parts.groupBy("chunk"))
             .applyInArrow(assembled, "doc_id long, text string, ids binary" + (", decoded string" if decoded else "")))
 
 
@@ -316,7 +379,7 @@ def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
     No ids decode to an empty text; bytes that are no UTF-8 become U+FFFD; repeated rows and
     NULL doc_ids are decoded each.  Other columns are dropped.
     """
-    texts = pieces.texts
+    texts = np.array(pieces.texts, object)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):

@@ -79,3 +79,22 @@ def test_random_words(spark, pieces):
 
 def test_empty_table(spark, pieces):
     assert S.encode(spark.createDataFrame([], "doc_id long, text string"), pieces).collect() == []
+
+
+def test_atoms_of_many_chunks_are_solved_once(spark, pieces, monkeypatch):
+    """Words that every chunk holds go through the lattice once, not once a chunk; signs around them change nothing."""
+    seen, plain = [], S.boundaries
+
+    def counted(atoms, pieces):
+        seen.append(atoms.count())
+        return plain(atoms, pieces)
+    monkeypatch.setattr(S, "boundaries", counted)
+    words = ["alpha", "(beta)", "gamma,", "gamma", "don't\nstop", "a\0b", "x" * 90, "y" * 40]
+    texts = [*[" ".join(words[i % 3:] + ["q" + chr(97 + i // 26) + chr(97 + i % 26)]) for i in range(60)], "  two  runs ", "▁ mark▁ x", "", None, "end ", "\n"]
+    got = S.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces, chunk_bytes=200, decoded=True).collect()
+    lib = sp.SentencePieceProcessor(model_file=PATH)
+    assert len(got) == len(texts)
+    for r in got:
+        assert ids(r) == lib.encode(r.text or ""), r.text
+        assert r.decoded == lib.decode(ids(r))
+    assert seen[0] <= 60 + 40
