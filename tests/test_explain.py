@@ -249,3 +249,14 @@ def test_surrogate_inverts_per_pattern_and_not_per_row(monkeypatch):
         want = np.zeros(d)
         want[sorted(used)] = np.linalg.solve(a[np.ix_(sorted(used), sorted(used))] + np.eye(k), b[sorted(used)])
         assert np.allclose(found[n], want)
+
+
+def test_attributions_from_tables_equal_those_by_pattern(rows, monkeypatch):
+    """Leaves of few conditions are looked up in a table of all patterns, others by the patterns that occur."""
+    assert explain.SHORT > 3
+    model = learners.LEARNERS["xgboost"](n_estimators=5, max_depth=4).fit(rows, NAMES)
+    run = lambda: {r.row_id: [r[n] for n in NAMES] for r in explain.tree_attribution(rows, model, ["row_id"]).collect()}
+    got = run()
+    monkeypatch.setattr(explain, "SHORT", 0)
+    want = run()
+    assert len(got) == 120 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
